@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, sharding, toxicity
+from . import langid, neardup, sharding, toxicity
 from .common import table
 
 
@@ -18,13 +18,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op7_language_id": op7_language_id, "op9_sharding": op9_sharding}
+    return {"op1_toxicity": op1_toxicity, "op7_language_id": op7_language_id, "op8_minhash_neardup": op8_minhash_neardup, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_sharding": sharding.SQL.format(docs="documents")}
+    return {"op8_minhash_neardup": neardup.SQL, "op9_sharding": sharding.SQL.format(docs="documents")}
