@@ -150,6 +150,18 @@ def classes(docs: DataFrame, p: Params = Params(), text: str = "text", key: str
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def keep_one(docs: DataFrame, p: Params = Params(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The row whose id is the smallest of its component; of rows that repeat such an id, one. Null ids all stay."""
+    found = classes(docs, p, text, key).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows"))
+    found = cut(found.where("not kept or rows > 1"), "decided")
+    gone, again = found.where("not kept").select("__k"), found.where("kept").select("__k")
+    same = F.col(key) == F.col("__k")
+    rows = docs.join(with_bounded_broadcast(gone, gone.count()), same, "left_anti")
+    if again.isEmpty():
+        return rows
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
+
+
 #: The same in DuckDB's SQL.
 SQL = r"""
 WITH RECURSIVE worded AS (

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, neardup, sharding, toxicity
+from . import decontam, langid, mixing, neardup, sharding, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op5(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op7(table(spark, sf_dir, "documents"))
 
@@ -26,8 +30,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op7_language_id": op7_language_id, "op8_minhash_neardup": op8_minhash_neardup, "op9_sharding": op9_sharding}
+    found = [op1_toxicity, op5_mixing, op7_language_id, op8_minhash_neardup, op9_sharding, op10_decontamination]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

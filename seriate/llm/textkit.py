@@ -56,14 +56,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of consecutive rows, and each row's first word.
+#: Also parts words at ASCII signs.
+SIGNS = _SPACE.copy()
+SIGNS[[k for k in range(128) if not chr(k).isalnum()]] = True
 
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of consecutive rows, and each row's first word.
+
+    Words are runs of bytes not in ``gap``, by default ``[^\\x20\\x09-\\x0D]+``.
     ``offsets`` index ``data``; words never cross rows.
     """
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[data]
+    space = gap[data]
     inside = ~space
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True

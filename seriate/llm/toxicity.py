@@ -14,7 +14,7 @@ are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,36 +167,45 @@ def _logistic(lists: list[np.ndarray], y: np.ndarray, r: np.ndarray, p: Params)
     return x[:k], float(x[k])
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, ``score`` and the columns ``keep`` of every row."""
+def scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:
+    """A function from a text column to its scores."""
     size = 1 << model.bits
     wanted, weights = np.zeros(size, bool), np.zeros(size)
     wanted[model.buckets], weights[model.buckets] = True, model.weights
 
+    def run(column: pa.Array) -> np.ndarray:
+        texts = _strings(column)
+        z = np.full(len(texts), model.intercept)
+        for rows, got in present(texts, model.bits, model.orders, wanted):
+            z += np.bincount(rows, weights[got], len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key`` and ``score`` of every row."""
+    of = scorer(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = _strings(b.column(names.index(text)))
-            z = np.full(len(texts), model.intercept)
-            for rows, got in present(texts, model.bits, model.orders, wanted):
-                z += np.bincount(rows, weights[got], len(texts))
-            s = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-            yield pa.RecordBatch.from_arrays([*(b.column(names.index(c)) for c in out), s], names=[*out, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1)))], names=["k", "score"])
 
-    out = [key, *keep]
-    names = list(dict.fromkeys([*out, text]))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in out)
-    return docs.select(*names).mapInArrow(run, schema + ", `score` double")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, score double").select(F.col("k").alias(key), "score")
 
 
-def op1(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    scored = score(docs, fit(docs, labels, p), keep=())
-    return scored.select("doc_id", (split_remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows scored under ``threshold``, as they are."""
+    of, at = scorer(model), docs.columns.index(text)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(of(b.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
-def keep_clean(docs: DataFrame, labels: DataFrame, p: Params = Params(), threshold: float = 0.5) -> DataFrame:
-    """The rows scored under ``threshold``, with their columns."""
-    names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    at = {n: f"c{i}" for i, n in enumerate(names)}
-    scored = score(plain, fit(docs, labels, p), at["text"], at["doc_id"], tuple(c for c in plain.columns if c != at["doc_id"]))
-    return scored.where(F.col("score") < threshold).select(*(F.col(at[n]).alias(n) for n in names))
+
+def op1(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    scored = score(docs, fit(docs, labels, p))
+    return scored.select("doc_id", (split_remainder(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
