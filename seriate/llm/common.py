@@ -21,13 +21,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, waves: int = 0) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return a scan of it.
 
     Unlike ``DataFrame.checkpoint`` this computes the plan once, keeps columns
-    prunable, and survives the loss of any executor.
+    prunable, and survives the loss of any executor.  ``waves`` writes at most
+    that many files for each of the cluster's cores, for tables much smaller
+    than what they are made from.
     """
     spark = df.sparkSession
+    if waves:
+        df = gathered(df, waves)
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -35,6 +39,11 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def gathered(df: DataFrame, waves: int = 4) -> DataFrame:
+    """``df`` in at most ``waves`` partitions for each of the cluster's cores: few rows need few files."""
+    return df.coalesce(max(4, waves * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`cut` once nothing lazy reads them."""
     for t in tables:

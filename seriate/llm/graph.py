@@ -25,40 +25,37 @@ from .common import cut, drop
 Verify = Callable[[DataFrame], DataFrame]
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root) for every node with an edge; root is the smallest node reachable.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the distinct edges (a, b); root is the smallest node reachable.
 
     Local contractions: each node merges into the neighbour (or itself) of
-    least hashed rank; the ranks are drawn anew in each round, so the number
-    of rounds is logarithmic for any graph.
+    least rank.  The first round ranks by id, which settles the stars that
+    :func:`linked` makes at once; later ones draw hashed ranks anew, so the
+    number of rounds is logarithmic for any graph.
     """
-    live = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    rounds: list[DataFrame] = []
-    while not live.isEmpty():
-        seed = F.lit(len(rounds))
+    live, rounds = edges.select("a", "b"), []
+    while True:
         both = live.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(live.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        rank = F.struct(F.xxhash64(seed, "u").alias("r"), F.col("u").alias("id"))
-        own = F.struct(F.xxhash64(seed, "v").alias("r"), F.col("v").alias("id"))
-        moved = cut(both.groupBy("v").agg(F.min(rank).alias("m")).select("v", F.least("m", own)["id"].alias("to")), "moved")
+        rank = (lambda c, seed=len(rounds): F.struct(F.xxhash64(F.lit(seed), c).alias("r"), F.col(c).alias("id"))) if rounds else (lambda c: F.struct(F.col(c).alias("id")))
+        moved = cut(both.groupBy("v").agg(F.min(rank("u")).alias("m")).select("v", F.least("m", rank("v"))["id"].alias("to")), "moved", 1)
         rounds.append(moved)
-        # A node's label moves along with its edges: v ~ u becomes to(v) ~ to(u), and v ~ to(v) is kept by the edge itself.
-        step = live.join(moved.withColumnRenamed("v", "a").withColumnRenamed("to", "ta"), "a").join(moved.withColumnRenamed("v", "b").withColumnRenamed("to", "tb"), "b")
-        new = cut(step.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b").distinct(), "edges")
-        drop(live)
-        live = new
-    drop(live)
-    if not rounds:
-        return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).limit(0)
+        # v ~ u becomes to(v) ~ to(u); v ~ to(v) was an edge itself, or v stays.
+        step = live.join(moved.select(F.col("v").alias("a"), F.col("to").alias("ta")), "a").join(moved.select(F.col("v").alias("b"), F.col("to").alias("tb")), "b")
+        step = step.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a <> b")
+        if step.isEmpty():
+            break
+        live = cut(step.distinct(), "edges", 1)
+    if len(rounds) == 1:
+        return rounds[0].select(F.col("v").alias("node"), F.col("to").alias("root"))
     # Nodes' labels after all rounds, composed from the last round back.
-    label = rounds[-1].select("v", "to")
+    label = rounds[-1]
     for earlier in reversed(rounds[:-1]):
-        nxt = label.select(F.col("v").alias("to"), F.col("to").alias("end"))
-        label = earlier.join(nxt, "to", "left").select("v", F.coalesce("end", "to").alias("to"))
-    # A table of its own lets the join below split a label that very many nodes have.
-    least = cut(label.groupBy("to").agg(F.min("v").alias("root")), "roots")
-    out = cut(label.join(least, "to").select(F.col("v").alias("node"), "root"), "components")
-    drop(*rounds, least)
-    return out
+        label = earlier.join(label.select(F.col("v").alias("to"), F.col("to").alias("end")), "to", "left").select("v", F.coalesce("end", "to").alias("to"))
+    # Tables of their own let the join split a label that very many nodes have.
+    label = cut(label, "labels", 1)
+    least = cut(label.groupBy("to").agg(F.min("v").alias("root")), "roots", 1)
+    drop(*rounds)
+    return label.join(least, "to").select(F.col("v").alias("node"), "root")
 
 
 def pairs(a: Column, b: Column) -> list[Column]:
@@ -77,19 +74,19 @@ def linked(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column],
     # Buckets with the same members are told by count and two sums; the first stands for them.
     kept = centre.where(F.col("c.node") < F.col("top")).groupBy("members", "sum1", "sum2", "c").agg(F.min("bucket").alias("bucket"))
     kept = kept.select("bucket", "members", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"))
-    members = cut(buckets.join(kept, "bucket").select("bucket", "node", "size", "members", "centre", "centre_size"), "members")
+    members = cut(buckets.join(kept, "bucket").select("bucket", "node", "size", "members", "centre", "centre_size"), "members", 4)
     star = members.where(F.col("node") != F.col("centre")).where(fits(F.col("size"), F.col("centre_size"))).select(*pairs(F.col("node"), F.col("centre"))).distinct()
-    links = cut(verify(star), "links")
+    links = cut(verify(star), "links", 1)
     comp = components(links)
     # What a star leaves open: buckets of three or more that lie in several components.
     at = members.where("members > 2").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = cut(at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket"), "open")
-    rest = cut(at.join(open_, "bucket").where("node <> centre").select("bucket", "node", "size", "root"), "rest")
+    open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    rest = cut(at.join(open_, "bucket").where("node <> centre").select("bucket", "node", "size", "root"), "rest", 1)
     other = rest.select("bucket", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
     more = rest.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & fits(F.col("size"), F.col("size2")))
-    extra = cut(verify(more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()), "links")
-    all_links = links.unionByName(extra)
-    if not extra.isEmpty():
-        comp = components(all_links)
-    drop(members, open_, rest)
-    return all_links, comp
+    more = more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    if not more.isEmpty():
+        links = cut(links.unionByName(verify(more)), "links", 1)
+        comp = components(links)
+    drop(members, rest)
+    return links, comp

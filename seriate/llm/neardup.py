@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, textkit
-from .common import cut, with_bounded_broadcast
+from .common import cut, gathered, with_bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def tables(nodes: DataFrame, p: Params) -> DataFrame:
     """
     tuples = nodes.select("node", "n", F.posexplode("sig").alias("i", "tuple"))
     shared = tuples.groupBy("tuple").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("tuple")
-    shared = cut(shared, "shared-tuples")
+    shared = cut(shared, "shared-tuples", 1)
     mine = tuples.join(shared, "tuple").groupBy("node", "n").agg(F.collect_list(F.when(F.col("i") < p.left, F.col("tuple"))).alias("l"), F.collect_list(F.when(F.col("i") >= p.left, F.col("tuple"))).alias("r"))
     both = F.flatten(F.transform("l", lambda x: F.transform("r", lambda y: F.xxhash64(x, y))))
     return mine.select("node", F.col("n").alias("size"), F.explode(both).alias("bucket"))
@@ -121,11 +121,11 @@ def verifier(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=["node", "s"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        held = cut(pairs, "pairs")
-        ids = cut(held.select(F.col("a").alias("node")).unionByName(held.select(F.col("b").alias("node"))).distinct(), "pair-nodes")
-        wanted = with_bounded_broadcast(ids, ids.count())
+        held = cut(pairs, "pairs", 1)
+        ids = held.select(F.col("a").alias("node")).unionByName(held.select(F.col("b").alias("node"))).distinct()
+        wanted = with_bounded_broadcast(ids, 2 * held.count())
         texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("t")).join(wanted, "node", "left_semi")
-        s = cut(texts.mapInArrow(sets, "node bigint, s array<bigint>").dropDuplicates(["node"]), "pair-sets")
+        s = cut(texts.mapInArrow(sets, "node bigint, s array<bigint>").dropDuplicates(["node"]), "pair-sets", 4)
         x, y = s.select(F.col("node").alias("a"), F.col("s").alias("sa")), s.select(F.col("node").alias("b"), F.col("s").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         out = held.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("any"))
@@ -139,7 +139,7 @@ def classes(docs: DataFrame, p: Params = Params(), text: str = "text", key: str
     sig = cut(signatures(docs, p, text, key), "signatures")
     some = sig.where("n > 0 and k is not null")
     # A set's node is the smallest id that has it; the aggregate is partial before its shuffle, so copies cost nothing.
-    ids = cut(some.groupBy("d1", "d2").agg(F.min("k").cast("bigint").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    ids = cut(some.groupBy("d1", "d2").agg(F.min("k").cast("bigint").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes", 4)
     nodes = ids.groupBy("node").agg(F.max("n").alias("n"), F.min_by("sig", F.struct("n", "d1", "d2")).alias("sig"))
     buckets = tables(nodes, p)
     _, comp = graph.linked(buckets, verifier(docs, p, text, key), fits(p.percent))
@@ -147,13 +147,13 @@ def classes(docs: DataFrame, p: Params = Params(), text: str = "text", key: str
     rows = sig.select("k", "n", "d1", "d2")
     out = rows.where("n > 0 and k is not null").join(node_of, ["d1", "d2"], "left").select("k", "n", "component_id")
     out = out.unionByName(rows.where("n = 0 or k is null").select("k", "n", F.when(F.col("k").isNotNull(), F.col("k").cast("bigint")).alias("component_id")))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return gathered(out).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, p: Params = Params(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """The row whose id is the smallest of its component; of rows that repeat such an id, one. Null ids all stay."""
     found = classes(docs, p, text, key).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows"))
-    found = cut(found.where("not kept or rows > 1"), "decided")
+    found = cut(found.where("not kept or rows > 1"), "decided", 1)
     gone, again = found.where("not kept").select("__k"), found.where("kept").select("__k")
     same = F.col(key) == F.col("__k")
     rows = docs.join(with_bounded_broadcast(gone, gone.count()), same, "left_anti")

@@ -82,7 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), text: str = "t
         .orderBy(F.xxhash64("k"), "k").limit(p.sample)
     )
     # The label side has at most p.sample rows of 12 bytes.
-    sample = cut(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(lab), "k").select("k", "t", "y").dropDuplicates(["k"]), "toxic-sample")
+    sample = cut(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(lab), "k").select("k", "t", "y").dropDuplicates(["k"]), "toxic-sample", 1)
     size, every = 1 << p.bits, np.ones(1 << p.bits, bool)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
