@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, mixing, neardup, sharding, toxicity
+from . import decontam, langid, media, mixing, neardup, sharding, substrings, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
@@ -39,9 +43,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op4_jpeg_media, op5_mixing, op7_language_id, op8_minhash_neardup, op9_sharding, op10_decontamination]
+    found = [op1_toxicity, op2_substring_dedup, op4_jpeg_media, op5_mixing, op7_language_id, op8_minhash_neardup, op9_sharding, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash_neardup": neardup.SQL, "op9_sharding": sharding.SQL.format(docs="documents")}
+    return {"op2_substring_dedup": substrings.SQL, "op8_minhash_neardup": neardup.SQL, "op9_sharding": sharding.SQL.format(docs="documents")}
