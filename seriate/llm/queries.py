@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, mixing, neardup, sharding, substrings, toxicity
+from . import decontam, langid, lines, media, mixing, neardup, pii, sharding, substrings, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op7(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_substring_dedup, op4_jpeg_media, op5_mixing, op7_language_id, op8_minhash_neardup, op9_sharding, op10_decontamination]
+    found = [op1_toxicity, op2_substring_dedup, op3_pii_pseudonyms, op4_jpeg_media, op5_mixing, op6_fuzzy_lines, op7_language_id, op8_minhash_neardup, op9_sharding, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
