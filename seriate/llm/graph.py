@@ -7,8 +7,10 @@ bucket are never emitted up front:
 1. every node is tested against its bucket's smallest node (a star);
 2. components of the links found are contracted, and buckets that now lie in
    one component are done;
-3. in what is left, only pairs of different components that were not tested
-   before are tested, one bucket standing for all with the same members.
+3. what is left is settled by the caller's ``settle``, which must link any two
+   nodes of a bucket that belong together and lie in different components; by
+   default the remaining pairs are tested one by one.  One bucket stands for
+   all with the same members.
 
 So every two nodes of a bucket end up in one component, or were tested.
 """
@@ -62,19 +64,26 @@ def pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def linked(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column]) -> tuple[DataFrame, DataFrame]:
+def pairwise(rest: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column]) -> DataFrame:
+    """Links among the pairs of different components that share a bucket."""
+    other = rest.select("bucket", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
+    more = rest.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & fits(F.col("size"), F.col("size2")))
+    return verify(more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct())
+
+
+def linked(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column], settle: Verify | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, components) of nodes given as (bucket, node, size) rows.
 
     ``fits(size, size)`` is a cheap necessary condition on two nodes' sizes.
-    ``verify`` gets distinct pairs (a, b) with a < b and returns those linked.
-    Links are those found by the tests: enough to connect each component.
+    ``verify`` gets distinct pairs (a, b) with a < b and returns those linked;
+    ``settle`` gets rows (bucket, node, size, root) and returns links.  Links are those found by the tests: enough to connect each component.
     """
     sums = [F.sum(F.xxhash64(F.lit(k), "node") % 1_000_000_007).alias(f"sum{k}") for k in (1, 2)]
     centre = buckets.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("c"), F.max("node").alias("top"), F.count("*").alias("members"), *sums)
     # Buckets with the same members are told by count and two sums; the first stands for them.
     kept = centre.where(F.col("c.node") < F.col("top")).groupBy("members", "sum1", "sum2", "c").agg(F.min("bucket").alias("bucket"))
     kept = kept.select("bucket", "members", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"))
-    members = cut(buckets.join(kept, "bucket").select("bucket", "node", "size", "members", "centre", "centre_size"), "members", 4)
+    members = cut(buckets.join(kept, "bucket").select("bucket", "node", "size", "members", "centre", "centre_size"), "members", 2)
     star = members.where(F.col("node") != F.col("centre")).where(fits(F.col("size"), F.col("centre_size"))).select(*pairs(F.col("node"), F.col("centre"))).distinct()
     links = cut(verify(star), "links", 1)
     comp = components(links)
@@ -82,11 +91,8 @@ def linked(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column],
     at = members.where("members > 2").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     rest = cut(at.join(open_, "bucket").where("node <> centre").select("bucket", "node", "size", "root"), "rest", 1)
-    other = rest.select("bucket", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-    more = rest.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & fits(F.col("size"), F.col("size2")))
-    more = more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
-    if not more.isEmpty():
-        links = cut(links.unionByName(verify(more)), "links", 1)
+    if not rest.isEmpty():
+        links = cut(links.unionByName(settle(rest) if settle else pairwise(rest, verify, fits)), "links", 1)
         comp = components(links)
     drop(members, rest)
     return links, comp

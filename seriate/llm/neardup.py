@@ -111,7 +111,9 @@ def fits(percent: int) -> callable:
     return lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
-def verifier(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
+def sets_of(docs: DataFrame, ids: DataFrame, most: int, p: Params, text: str, key: str) -> DataFrame:
+    """(node, s): the shingle sets of the documents in ``ids``, of which there are ``most`` at most."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = textkit.utf8(batch.column(1))
@@ -120,12 +122,15 @@ def verifier(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
             flat = pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=["node", "s"])
 
+    texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("t")).join(with_bounded_broadcast(ids, most), "node", "left_semi")
+    return texts.mapInArrow(sets, "node bigint, s array<bigint>").dropDuplicates(["node"])
+
+
+def verifier(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
     def verify(pairs: DataFrame) -> DataFrame:
         held = cut(pairs, "pairs", 1)
         ids = held.select(F.col("a").alias("node")).unionByName(held.select(F.col("b").alias("node"))).distinct()
-        wanted = with_bounded_broadcast(ids, 2 * held.count())
-        texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("t")).join(wanted, "node", "left_semi")
-        s = cut(texts.mapInArrow(sets, "node bigint, s array<bigint>").dropDuplicates(["node"]), "pair-sets", 4)
+        s = cut(sets_of(docs, ids, 2 * held.count(), p, text, key), "pair-sets", 2)
         x, y = s.select(F.col("node").alias("a"), F.col("s").alias("sa")), s.select(F.col("node").alias("b"), F.col("s").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         out = held.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("any"))
@@ -134,15 +139,81 @@ def verifier(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
     return verify
 
 
+#: Shingles of a block of :func:`settler`, on average.
+BLOCK = 1 << 18
+
+
+def settler(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
+    """Settle crowds of alike but not linked documents without a row per pair.
+
+    Documents that share an open bucket, directly or through others, form a
+    crowd.  A crowd is cut into blocks of bounded size, and each two blocks
+    meet in a task, which finds the links between different components by an
+    inverted index over the blocks and returns those that join components.
+    """
+
+    def block(table: pa.Table) -> pa.Table:
+        node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
+        arrays = [np.asarray(x, np.int64) for x in table.column("s").to_pylist()]
+        sizes = np.array([len(x) for x in arrays])
+        owner, flat = np.repeat(np.arange(len(node)), sizes), np.concatenate(arrays)
+        order = np.argsort(flat, kind="stable")
+        new = np.append(True, flat[order][1:] != flat[order][:-1])
+        gid = np.empty(len(flat), np.int64)
+        gid[order] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        df, posts, starts = np.diff(np.append(first, len(flat))), owner[order], np.concatenate([[0], np.cumsum(sizes)])
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while up.get(x, x) != x:
+                up[x] = x = up.get(up[x], up[x])
+            return x
+
+        label, n = np.unique(root, return_counts=True)
+        crowd, links = label[n.argmax()], []
+        for x in np.flatnonzero(root != crowd):
+            mine = gid[starts[x] : starts[x + 1]]
+            mine = mine[df[mine] > 1]
+            if len(mine) * 100 < sizes[x] * p.percent:  # too much of it is nowhere else
+                continue
+            reach = df[mine]
+            at = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())
+            both = np.bincount(posts[at], minlength=len(node))
+            alike = both * 100 >= (sizes[x] + sizes - both) * p.percent
+            if own.min() != own.max():
+                alike &= own != own[x]  # those of one block meet elsewhere
+            for y in np.flatnonzero(alike & (root != root[x])):
+                a, b = find(int(root[x])), find(int(root[y]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    links.append((min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))))
+        return pa.table({"a": pa.array([k[0] for k in links], pa.int64()), "b": pa.array([k[1] for k in links], pa.int64())})
+
+    def settle(rest: DataFrame) -> DataFrame:
+        hubs = rest.groupBy("bucket").agg(F.min("node").alias("b"))
+        edges = cut(rest.join(hubs, "bucket").where("node <> b").select(F.col("b").alias("a"), F.col("node").alias("b")).distinct(), "crowd-edges", 1)
+        crowds = graph.components(edges).select("node", F.col("root").alias("crowd"))
+        mine = cut(rest.select("node", "size", "root").distinct().join(crowds, "node"), "crowds", 1)
+        blocks = mine.groupBy("crowd").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+        rows = mine.join(blocks, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rows = rows.join(sets_of(docs, mine.select("node"), mine.count(), p, text, key), "node")
+        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("crowd", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "node", "root", "own", "s")
+        return rows.groupBy("crowd", "lo", "hi").applyInArrow(block, "a bigint, b bigint")
+
+    return settle
+
+
 def classes(docs: DataFrame, p: Params = Params(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id and kept."""
-    sig = cut(signatures(docs, p, text, key), "signatures")
+    sig = cut(signatures(docs, p, text, key), "signatures", 2)
     some = sig.where("n > 0 and k is not null")
     # A set's node is the smallest id that has it; the aggregate is partial before its shuffle, so copies cost nothing.
-    ids = cut(some.groupBy("d1", "d2").agg(F.min("k").cast("bigint").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes", 4)
+    ids = cut(some.groupBy("d1", "d2").agg(F.min("k").cast("bigint").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes", 2)
     nodes = ids.groupBy("node").agg(F.max("n").alias("n"), F.min_by("sig", F.struct("n", "d1", "d2")).alias("sig"))
     buckets = tables(nodes, p)
-    _, comp = graph.linked(buckets, verifier(docs, p, text, key), fits(p.percent))
+    _, comp = graph.linked(buckets, verifier(docs, p, text, key), fits(p.percent), settler(docs, p, text, key))
     node_of = ids.select("d1", "d2", "node").join(comp, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
     rows = sig.select("k", "n", "d1", "d2")
     out = rows.where("n > 0 and k is not null").join(node_of, ["d1", "d2"], "left").select("k", "n", "component_id")
