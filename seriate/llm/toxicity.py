@@ -29,9 +29,9 @@ from .common import cut, drop, split_remainder
 @dataclass(frozen=True)
 class Params:
     #: Labelled rows to learn from at most, those with the smallest hashed ids.
-    sample: int = 12_000
+    sample: int = 6_000
     #: Features kept: those whose log-count ratios differ most clearly from 0.
-    features: int = 1 << 13
+    features: int = 1 << 12
     bits: int = 18
     orders: tuple[int, ...] = (3, 4, 5)
     least_df: int = 3
@@ -120,8 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), text: str = "t
             texts = _strings(b.column("t"))
             found: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
             for rows, got in present(texts, p.bits, p.orders, wanted):
-                for row in np.unique(rows):
-                    found[row] = got[rows == row].astype(np.uint32)
+                cuts = np.flatnonzero(np.diff(rows)) + 1
+                for at, part in zip(np.append(0, cuts), np.split(got, cuts), strict=True):
+                    if len(part):
+                        found[rows[at]] = part.astype(np.uint32)
             yield pa.RecordBatch.from_pydict({"k": b.column("k"), "y": b.column("y"), "f": pa.array([x.tobytes() for x in found], pa.binary())})
 
     # p.sample rows of at most 4 bytes a feature.
@@ -134,13 +136,15 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), text: str = "t
 
 def _logistic(lists: list[np.ndarray], y: np.ndarray, r: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
     """Regularised logistic regression on features scaled by ``r``, by L-BFGS."""
-    rows, cols = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.empty(0, np.int64)]).astype(np.int64)
-    vals, n, k, sign = r[cols], len(lists), len(r), np.where(y > 0, 1.0, -1.0)
+    n, k, sign = len(lists), len(r), np.where(y > 0, 1.0, -1.0)
+    counts, cols = np.array([len(x) for x in lists]), np.concatenate([*lists, np.empty(0, np.int64)])
+    bounds = np.concatenate([[0], np.cumsum(counts)])
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
-        m = sign * (np.bincount(rows, vals * x[cols], n) + x[k])
+        sums = np.concatenate([[0.0], np.cumsum((r * x[:k])[cols])])
+        m = sign * (sums[bounds[1:]] - sums[bounds[:-1]] + x[k])
         g = -sign / (1 + np.exp(np.clip(m, -500, 500)))
-        grad = np.append(np.bincount(cols, vals * g[rows], k) + p.l2 * x[:k], g.sum())
+        grad = np.append(r * np.bincount(cols, np.repeat(g, counts), k) + p.l2 * x[:k], g.sum())
         return float(np.logaddexp(0, -m).sum() + 0.5 * p.l2 * x[:k] @ x[:k]), grad
 
     x = np.append(np.zeros(k), np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
