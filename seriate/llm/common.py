@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one 8-byte key that may be broadcast (16 MB); larger sides shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Rows of one 8-byte key that may be broadcast (4 MB, some 20 MB when hashed); larger sides shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -26,8 +26,8 @@ def cut(df: DataFrame, tag: str, waves: int = 0) -> DataFrame:
 
     Unlike ``DataFrame.checkpoint`` this computes the plan once, keeps columns
     prunable, and survives the loss of any executor.  ``waves`` writes at most
-    that many files for each of the cluster's cores, for tables much smaller
-    than what they are made from.
+    that many files for each of the cluster's cores (see :func:`gathered`),
+    for tables much smaller than what they are made from.
     """
     spark = df.sparkSession
     if waves:
@@ -39,9 +39,13 @@ def cut(df: DataFrame, tag: str, waves: int = 0) -> DataFrame:
     return out
 
 
-def gathered(df: DataFrame, waves: int = 4) -> DataFrame:
-    """``df`` in at most ``waves`` partitions for each of the cluster's cores: few rows need few files."""
-    return df.coalesce(max(4, waves * df.sparkSession.sparkContext.defaultParallelism))
+def gathered(df: DataFrame, waves: int = 2) -> DataFrame:
+    """``df`` in at most ``waves`` partitions for each of the cluster's cores, or a 16th of the shuffle's.
+
+    Few rows need few files; partitions are joined without a shuffle.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(4, waves * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
 
 
 def drop(*tables: DataFrame) -> None:

@@ -95,7 +95,7 @@ def decide(units: DataFrame, sources: DataFrame) -> DataFrame:
     whole = F.floor(rate + 1e-12)
     rows = with_rate.withColumn("whole", whole.cast("bigint")).withColumn("share", F.greatest(rate - whole, F.lit(0.0))).withColumn("seed", F.xxhash64(F.lit(5), "doc_id", "source", "size"))
     rows = rows.withColumn("groups", F.ceil(F.col("units") / GROUP).cast("bigint")).withColumn("bucket", F.pmod("seed", "groups"))
-    rows = cut(rows.select("doc_id", "source", "size", "rows", "source_size", "target", "whole", "share", "seed", "groups", "bucket"), "mix-units", 4)
+    rows = cut(rows.select("doc_id", "source", "size", "rows", "source_size", "target", "whole", "share", "seed", "groups", "bucket"), "mix-units", 2)
     moving = (F.col("share") > 1e-9) & (F.col("share") < 1 - 1e-9) & (F.col("size") > 0)
     done = [rows.where(~moving)]
     live, level = rows.where(moving), 0
@@ -120,7 +120,7 @@ def decide(units: DataFrame, sources: DataFrame) -> DataFrame:
         if most <= 1:
             done.append(after)
             break
-        after = cut(after, "mix-level", 4)
+        after = cut(after, "mix-level", 2)
         done.append(after.where(~moving))
         most, level = -(-most // GROUP), level + 1
         live = after.where(moving).withColumn("groups", F.ceil(F.col("groups") / GROUP).cast("bigint")).withColumn("bucket", F.floor(F.col("bucket") / GROUP).cast("bigint"))
@@ -132,7 +132,7 @@ def decide(units: DataFrame, sources: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    units = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "units", 4)
+    units = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "units", 2)
     return decide(units, targets(units))
 
 

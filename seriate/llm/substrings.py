@@ -159,19 +159,19 @@ def _cleaned(texts: DataFrame, p: Params) -> DataFrame:
 def _analysed(docs: DataFrame, p: Params, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(base, canon, cleaned): every row's words, each text's holder, and what is left of the texts that lose words."""
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    base = cut(_base(rows, p), "sub-base")
+    base = cut(_base(rows, p), "sub-base", 2)
     some = base.where(f"n >= {p.window} and k is not null")
-    canon = cut(some.groupBy("sha").agg(F.min("k").alias("first"), F.min_by("own", "k").alias("own")), "sub-texts", 4)
+    canon = cut(some.groupBy("sha").agg(F.min("k").alias("first"), F.min_by("own", "k").alias("own")), "sub-texts", 1)
     owned = canon.select(F.col("first").alias("k"), F.explode("own").alias("g"))
     recurring = cut(owned.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "sub-phrases", 1)
-    need = cut(owned.join(with_bounded_broadcast(recurring, recurring.count()), "g").groupBy("k").agg(F.collect_set("g").alias("gs")), "sub-need", 4)
+    need = cut(owned.join(with_bounded_broadcast(recurring, recurring.count()), "g").groupBy("k").agg(F.collect_set("g").alias("gs")), "sub-need", 1)
     ids = need.select("k")
     affected = rows.join(with_bounded_broadcast(ids, ids.count()), "k", "left_semi").join(need, "k")
-    found = cut(_windows(affected, p), "sub-windows")
+    found = cut(_windows(affected, p), "sub-windows", 2)
     least = found.groupBy("h1", "h2").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    least = cut(least, "sub-confirmed", 4)
+    least = cut(least, "sub-confirmed", 1)
     gone = found.join(with_bounded_broadcast(least, 3 * least.count()), ["h1", "h2"]).where("lo < k").groupBy("k").agg(F.collect_set("at").alias("gone"))
-    gone = cut(gone, "sub-gone", 4)
+    gone = cut(gone, "sub-gone", 1)
     ids = gone.select("k")
     losing = rows.join(with_bounded_broadcast(ids, ids.count()), "k", "left_semi").join(gone, "k")
     return base, canon, _cleaned(losing, p)
@@ -180,7 +180,7 @@ def _analysed(docs: DataFrame, p: Params, text: str, key: str) -> tuple[DataFram
 def dedup(docs: DataFrame, p: Params = Params(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_removed and kept_sha256."""
     base, canon, cleaned = _analysed(docs, p, text, key)
-    small = cut(cleaned.select("k", "sha", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")).distinct(), "sub-cleaned", 4)
+    small = cut(cleaned.select("k", "sha", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")).distinct(), "sub-cleaned", 1)
     rows = base.select("k", "n", "sha").join(canon.select("sha", "first"), "sha", "left").join(small, ["k", "sha"], "left")
     copy = F.coalesce(F.col("k") > F.col("first"), F.lit(False))
     out = rows.select(
