@@ -69,7 +69,7 @@ def profiles(tagged: DataFrame, meta: DataFrame) -> DataFrame:
     counts = [F.count_if((F.col("patt") == k) & F.col("opens")).alias(f"n_motifs_{k}") for k in rules.PATTERNS]
     marks = [f(c).alias(f"{short}_{n}") for c, short in (("sal", "sal"), ("energy", "energy")) for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
     agg = df.groupBy("series_id").agg(F.count("*").alias("n_segments"), F.sum("len").alias("pts"), *points, *counts, *marks)
-    row = meta.join(agg, "series_id", "left")
+    row = meta.select("series_id", "n_points", "dt", "unit").join(agg, "series_id", "left")
     total = F.when(F.col("n_points") > 0, F.col("n_points")).otherwise(F.greatest(F.coalesce("pts", F.lit(0)), F.lit(1)))
     or_zero = lambda c: F.coalesce(c, F.lit(0))
     return row.select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import unzigzag, varint_length, zigzag
 from ..operators import alarms, coding, segment, semantics, sizes
 from ..params import PREDICTORS, CodecParams
-from ..sources import tables
+from ..sources import blobs, tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Users have some 60 events, suppliers some 600 lines.
@@ -348,3 +348,42 @@ def alarm_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = coding.segments(coding.coded(segment.segmented(points, SUPPLIER), SUPPLIER))
     meta = seg.groupBy("series_id").agg(F.sum("len").alias("n_points")).withColumns({"dt": F.lit(1.0), "unit": F.lit("step")})
     return semantics.profiles(semantics.tags(seg), meta)
+
+
+# ---- binary form and text --------------------------------------------------
+
+
+def _payloads(points: DataFrame, p: CodecParams) -> DataFrame:
+    return blobs.encode(points, tables.meta(points, UNIT["dt"], UNIT["t0"], UNIT["unit"]), p)
+
+
+@_register("blob_roundtrip", _sql(*_USER, _coded("linear"), select="SELECT series_id, idx, round(decoded, 6) AS value FROM coded"))
+def blob_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payloads = _payloads(tables.user_series(spark, sf_dir), USER.but(residual_coding="varint"))
+    return blobs.decode(payloads).select("series_id", "idx", *_r("value"))
+
+
+@_register("blob_roundtrip_rw_raw", _sql(*_USER, _coded("rw"), select="SELECT series_id, idx, round(decoded, 6) AS value FROM coded"))
+def blob_roundtrip_rw_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blobs.decode(_payloads(tables.user_series(spark, sf_dir), USER.but(predictor="rw"))).select("series_id", "idx", *_r("value"))
+
+
+@_register("blob_metadata", _SIZE_SQL.replace("SELECT series_id, n_points, n_segments,", "SELECT series_id, n_points, n_segments, 1 AS coding_type, 'step' AS unit,").replace(" AS encoded_bytes", " AS n_bytes").split(", round(n_points")[0] + " FROM bytes")
+def blob_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payloads = _payloads(_scaled_series(spark, sf_dir), SUPPLIER.but(residual_coding="varint"))
+    return blobs.metadata(payloads).select("series_id", "n_points", "n_segments", "coding_type", "unit", "n_bytes")
+
+
+@_register("blob_segments", _sql(*_CHAIN, select="SELECT series_id, seg_id, start_idx, end_idx, len, round(mean, 9) AS mean, round(slope, 6) AS slope, round(q_step, 6) AS q FROM segments"))
+def blob_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seg = blobs.segments(_payloads(_scaled_series(spark, sf_dir), SUPPLIER))
+    return seg.select("series_id", "seg_id", "start_idx", "end_idx", "len", F.round("mean", 9).alias("mean"), *_r("slope"), F.round("q_step", 6).alias("q"))
+
+
+@_register("text_numbers", "SELECT c_custkey, c_acctbal AS plain, CAST(NULL AS DOUBLE) AS named, round(c_acctbal * 1000, 6) AS scaled FROM customer")
+def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances as texts, parsed as a line's first field: plain, as a name that is no number, and with an exponent."""
+    t = F.col("c_acctbal").cast("double").cast("string")
+    first = lambda line: text.number(F.split(line, ",")[0])
+    rows = tables.table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", first(F.concat(F.lit("  "), t, F.lit(" ,x"))).alias("plain"), first(F.concat(F.lit("value"), t)).alias("named"), F.round(first(F.concat(t, F.lit("e3"))), 6).alias("scaled"))
