@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import prose
+from samples import prose
 
 from seriate.llm import decontam
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import prose
+from samples import prose
 
 from seriate.llm import graph, neardup
 

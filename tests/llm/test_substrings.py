@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from conftest import prose
+from samples import prose
 
 from seriate.llm import substrings
 

@@ -2,7 +2,7 @@ import os
 import zlib
 
 import pytest
-from conftest import prose
+from samples import prose
 
 from seriate.llm import toxicity
 from seriate.llm.toxicity import Params
