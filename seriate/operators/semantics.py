@@ -57,9 +57,12 @@ def summary(segments: DataFrame) -> DataFrame:
     )
 
 
-def profiles(tagged: DataFrame, meta: DataFrame) -> DataFrame:
+def profiles(tagged: DataFrame, meta: DataFrame | None = None, dt: float = 1.0, unit: str = "unknown") -> DataFrame:
     """One row per series of ``meta`` (series_id, n_points, dt, unit), with 6 decimals (saliences 3), as files would hold them.
 
+    Without ``meta`` the series are those of the segments, whose lengths add
+    up to the points, and all share ``dt`` and ``unit``; nothing is joined.
+
     A pattern's motifs are counted as its segments whose predecessor has
     another pattern, so segments are aggregated once.
     """
@@ -69,7 +72,10 @@ def profiles(tagged: DataFrame, meta: DataFrame) -> DataFrame:
     counts = [F.count_if((F.col("patt") == k) & F.col("opens")).alias(f"n_motifs_{k}") for k in rules.PATTERNS]
     marks = [f(c).alias(f"{short}_{n}") for c, short in (("sal", "sal"), ("energy", "energy")) for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg))]
     agg = df.groupBy("series_id").agg(F.count("*").alias("n_segments"), F.sum("len").alias("pts"), *points, *counts, *marks)
-    row = meta.select("series_id", "n_points", "dt", "unit").join(agg, "series_id", "left")
+    if meta is None:
+        row = agg.withColumns({"n_points": F.col("pts"), "dt": F.lit(float(dt)), "unit": F.lit(unit)})
+    else:
+        row = meta.select("series_id", "n_points", "dt", "unit").join(agg, "series_id", "left")
     total = F.when(F.col("n_points") > 0, F.col("n_points")).otherwise(F.greatest(F.coalesce("pts", F.lit(0)), F.lit(1)))
     or_zero = lambda c: F.coalesce(c, F.lit(0))
     return row.select(

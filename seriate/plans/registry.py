@@ -127,10 +127,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = _segments(spark, sf_dir)
-    # Segment lengths add up to the points, so the series are not counted again.
-    meta = seg.groupBy("series_id").agg(F.sum("len").alias("n_points")).withColumns({"dt": F.lit(1.0), "unit": F.lit("step")})
-    return semantics.profiles(semantics.tags(seg), meta)
+    return semantics.profiles(semantics.tags(_segments(spark, sf_dir)), dt=UNIT["dt"], unit=UNIT["unit"])
 
 
 # ---- series and segments -------------------------------------------------
@@ -346,8 +343,7 @@ def alarm_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = alarms.intensity(tables.event_alarms(spark, sf_dir), 3600.0)
     points = bins.select(F.lit("alarms").alias("series_id"), F.col("bin").alias("idx"), "value")
     seg = coding.segments(coding.coded(segment.segmented(points, SUPPLIER), SUPPLIER))
-    meta = seg.groupBy("series_id").agg(F.sum("len").alias("n_points")).withColumns({"dt": F.lit(1.0), "unit": F.lit("step")})
-    return semantics.profiles(semantics.tags(seg), meta)
+    return semantics.profiles(semantics.tags(seg), dt=UNIT["dt"], unit=UNIT["unit"])
 
 
 # ---- binary form and text --------------------------------------------------
