@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data, in Spark expressions only.
 
 Values are found by pattern, validated (Luhn checksum, octet ranges, calendar,
-number-plan ranges) and replaced by a keyed Feistel permutation of their own
+ranges of social numbers) and replaced by a keyed Feistel permutation of their own
 domain: a card stays a valid card with its separators, an address stays an
 address, a date a date.  A permutation maps equal values to equal pseudonyms
 and different ones to different ones, so records stay linked across documents.
@@ -31,7 +31,7 @@ ROUNDS = 8
 #: Kinds in the order in which they are tried at a place in the text.
 PATTERNS = {
     "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "secret": r"\b[0-9a-f]{32,64}\b",
+    "secret": r"\b[0-9a-fA-F]{32,64}\b",
     "date": r"\b(?:1[89]|2[01])\d\d-\d\d-\d\d\b",
     "card": r"\b\d(?:[ -]?\d){12,18}\b",
     "address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
@@ -123,13 +123,12 @@ def date(v: Column, key: str) -> Column:
 
 
 def phone(v: Column, key: str) -> Column:
+    """All ten digits are permuted; the country code and the signs stay."""
     digits = F.substring(F.regexp_replace(v, r"^\+1|[^0-9]", ""), -10, 10)
 
     def go(d: Column) -> Column:
-        area, line = d.substr(1, 3).cast("bigint") - 200, d.substr(4, 7).cast("bigint") - 2_000_000
-        new = pair(area, line, 800, 8_000_000, key, "phone", lambda x, y: F.concat((x + 200).cast("string"), (y + 2_000_000).cast("string")))
-        plus = F.when(v.startswith("+1"), F.lit("1")).otherwise(F.lit(""))
-        return F.when((area >= 0) & (line >= 0), _then(F.concat(plus, new), lambda n: refill(v, n))).otherwise(v)
+        new = pair(d.substr(1, 3), d.substr(4, 7), 1000, 10**7, key, "phone", lambda x, y: F.concat(_padded(x, 3), _padded(y, 7)))
+        return _then(F.concat(F.when(v.startswith("+1"), F.lit("1")).otherwise(F.lit("")), new), lambda n: refill(v, n))
 
     return _then(digits, go)
 
@@ -148,7 +147,7 @@ def string(v: Column, key: str, kind: str, letters: int = 26) -> Column:
     def shifted(c: Column, by: Column) -> Column:
         at = F.ascii(c)
         move = lambda base, n: F.chr(F.pmod(at - base + by, F.lit(n)) + base)
-        return F.when(c.rlike("[a-z]"), move(97, letters)).when(c.rlike("[0-9]"), move(48, 10)).when(c.rlike("[A-Z]"), move(65, 26)).otherwise(c)
+        return F.when(c.rlike("[a-z]"), move(97, letters)).when(c.rlike("[0-9]"), move(48, 10)).when(c.rlike("[A-Z]"), move(65, letters)).otherwise(c)
 
     def add(half: Column, other: Column, step: int) -> Column:
         # A hash per 8 characters of the half, as many as it takes.

@@ -16,8 +16,8 @@ def run(docs_of, texts, key=None):
     return [r.text for r in pii.pseudonymise(df, key or pii.KEY).orderBy("doc_id").collect()]
 
 
-VALID = [CARD, "4619-6464-2608-8949", "4619 6464 2608 8949", "378282246310005", "78.241.210.149", "0.0.0.0", "255.255.255.255", "2024-02-29", "1800-01-01", "2199-12-31", "+1 (869) 555-7420", "(969) 555-7420", "123-45-6789", "899-99-9999", "ab.C-9@mail1.example.com", "8824c3a463b8b0d68516db48c461547d5799bf8b"]
-INVALID = ["4619646426088948", "256.1.1.1", "01.2.3.4", "2023-02-29", "2024-13-01", "(169) 555-7420", "(869) 155-7420", "000-45-6789", "666-45-6789", "123-00-6789", "123-45-0000", "12345", "v1.2.3"]
+VALID = [CARD, "4619-6464-2608-8949", "4619 6464 2608 8949", "378282246310005", "78.241.210.149", "0.0.0.0", "255.255.255.255", "2024-02-29", "1800-01-01", "2199-12-31", "+1 (869) 555-7420", "(969) 555-7420", "123-45-6789", "899-99-9999", "ab.C-9@mail1.example.com", "8824c3a463b8b0d68516db48c461547d5799bf8b", "(017) 155-7420", "8824C3A463B8B0D68516DB48C461547D5799BF8B"]
+INVALID = ["4619646426088948", "256.1.1.1", "01.2.3.4", "2023-02-29", "2024-13-01", "000-45-6789", "666-45-6789", "123-00-6789", "123-45-0000", "12345", "v1.2.3"]
 
 
 def shape(s):
@@ -33,7 +33,7 @@ def test_values_keep_their_format_and_validity(docs_of):
         if "@" in v:
             assert a.endswith("@mail1.example.com") and shape(a) == shape(v)
         elif len(v) == 40:
-            assert re.fullmatch("[0-9a-f]{40}", a) and [c.isdigit() for c in a] == [c.isdigit() for c in v]
+            assert re.fullmatch("[0-9a-f]{40}|[0-9A-F]{40}", a) and [c.isdigit() for c in a] == [c.isdigit() for c in v]
         elif "." in v:
             assert all(0 <= int(o) <= 255 for o in a.split("."))
         else:
