@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import unzigzag, varint_length, zigzag
 from ..operators import alarms, coding, segment, semantics, sizes
 from ..params import PREDICTORS, CodecParams
-from ..sources import blobs, tables, text
+from ..sources import blobs, generate, tables, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Users have some 60 events, suppliers some 600 lines.
@@ -383,3 +383,35 @@ def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lambda line: text.number(F.split(line, ",")[0])
     rows = tables.table(spark, sf_dir, "customer")
     return rows.select("c_custkey", first(F.concat(F.lit("  "), t, F.lit(" ,x"))).alias("plain"), first(F.concat(F.lit("value"), t)).alias("named"), F.round(first(F.concat(t, F.lit("e3"))), 6).alias("scaled"))
+
+
+@_register("alarm_extent", "SELECT epoch_us(min(ts)) AS first_us, CAST(floor(date_diff('microsecond', min(ts), max(ts)) / 1e6 / 3600) AS BIGINT) + 1 AS n_bins FROM events")
+def alarm_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alarms.extent(tables.event_alarms(spark, sf_dir), 3600.0).select(F.col("first").alias("first_us"), "n_bins")
+
+
+@_register("type_profiles", _sql("pts AS (SELECT event_type AS series_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, value FROM events)", _seg(32), _FIT, _coded("linear"), _SEGMENTS, _tags("cli"), _profile(), select="SELECT * FROM profile"))
+def type_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few long series: one per event type."""
+    seg = coding.segments(coding.coded(segment.segmented(segment.checked(tables.type_series(spark, sf_dir)), SUPPLIER), SUPPLIER))
+    return semantics.profiles(semantics.tags(seg), dt=UNIT["dt"], unit=UNIT["unit"])
+
+
+# ---- generators ------------------------------------------------------------
+
+
+def _generator(kind: str, sql: str | None) -> None:
+    @_register(f"gen_{kind}", sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return generate.series(spark, kind).select("series_id", "idx", *_r("value"))
+
+
+_generator("trend", "SELECT 'trend' AS series_id, range AS idx, round(0.05::DOUBLE * range, 6) AS value FROM range(300)")
+_generator("flat_spike", "SELECT 'flat_spike' AS series_id, range AS idx, CASE WHEN range >= 135 AND range < 165 THEN 3.0 ELSE 1.5 END::DOUBLE AS value FROM range(300)")
+for _kind in ("sine_noise", "ramp_then_burst", "multi_bump"):
+    _generator(_kind, None)
+
+
+@_register("gen_alarms")
+def gen_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.alarms(spark)
