@@ -7,6 +7,8 @@ from seriate.api import TimeSeries, decode_timeseries, encode_timeseries
 from seriate.functions import blobs
 from seriate.sources import blobs as source
 
+END = blobs.SUFFIX
+
 
 def made(coding="varint", n=3):
     e = np.zeros(1, blobs.ENTRY)
@@ -89,11 +91,11 @@ def test_files_are_found_once_and_by_suffix(spark, tmp_path):
     data, _ = made()
     source.write(spark.createDataFrame([("b", data), ("a", data)], "series_id string, payload binary"), str(tmp_path / "x"))
     (tmp_path / "x/deep").mkdir()
-    (tmp_path / "x/deep/c.lsg2").write_bytes(data)
+    (tmp_path / f"x/deep/c{END}").write_bytes(data)
     (tmp_path / "x/no.txt").write_text("no")
     found = lambda *a, **k: [r.series_id for r in source.read(spark, *a, **k).collect()]
     x = str(tmp_path / "x")
-    assert found(x) == ["a.lsg2", "b.lsg2"]
-    assert found(x, recursive=True) == ["a.lsg2", "b.lsg2", "c.lsg2"]
-    assert found(x, f"{x}/a.lsg2", f"{x}/no.txt") == ["a.lsg2", "b.lsg2"]
+    assert found(x) == [f"a{END}", f"b{END}"]
+    assert found(x, recursive=True) == [f"a{END}", f"b{END}", f"c{END}"]
+    assert found(x, f"{x}/a{END}", f"{x}/no.txt") == [f"a{END}", f"b{END}"]
     assert found(f"{x}/no.txt") == []

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from seriate import cli
+from seriate.functions.blobs import MAGIC, SUFFIX
 
 
 @pytest.fixture
@@ -15,7 +16,7 @@ def run(spark, monkeypatch):
 
 @pytest.fixture
 def blob(run, tmp_path):
-    src, out = tmp_path / "trend.csv", tmp_path / "trend.lsg2"
+    src, out = tmp_path / "trend.csv", tmp_path / f"trend{SUFFIX}"
     src.write_text("# value\n" + "\n".join(repr(0.1 * i) for i in range(200)) + "\n")
     assert run("encode", src, out, "--dt", 1, "--t0", "0", "--unit", "step") == 0
     return out
@@ -37,8 +38,8 @@ def test_noisy_series_by_auto(run, tmp_path):
     r = random.Random(123)
     xs = [math.sin(2 * math.pi * i / 50) + r.gauss(0, 0.1) for i in range(300)]
     (tmp_path / "s.csv").write_text("value\n" + "\n".join(map(repr, xs)))
-    assert run("encode", tmp_path / "s.csv", tmp_path / "s.lsg2", "--dt", 60, "--t0", "0", "--unit", "arb", "--predictor", "auto", "--min-segment-length", 30, "--max-segment-length", 80, "--mse-threshold", 0.2) == 0
-    run("decode", tmp_path / "s.lsg2", tmp_path / "b.csv")
+    assert run("encode", tmp_path / "s.csv", tmp_path / f"s{SUFFIX}", "--dt", 60, "--t0", "0", "--unit", "arb", "--predictor", "auto", "--min-segment-length", 30, "--max-segment-length", 80, "--mse-threshold", 0.2) == 0
+    run("decode", tmp_path / f"s{SUFFIX}", tmp_path / "b.csv")
     back = [float(x) for x in (tmp_path / "b.csv").read_text().split()]
     assert math.sqrt(sum((a - b) ** 2 for a, b in zip(xs, back, strict=True)) / 300) < 0.3
 
@@ -60,18 +61,18 @@ def test_exports_events_and_clusters(run, blob, tmp_path):
     run("batch-profile", tmp_path, "-o", tmp_path / "new/p.csv")
     assert rows(tmp_path / "p1.csv") == rows(tmp_path / "new/p.csv")
     p = dict(zip(*rows(tmp_path / "p1.csv"), strict=True))
-    assert (p["file"], p["frac_trend"], p["energy_avg"], p["sal_avg"], p["dt"]) == ("trend.lsg2", "1.000000", "10.000100", "2.000", "1")
+    assert (p["file"], p["frac_trend"], p["energy_avg"], p["sal_avg"], p["dt"]) == (f"trend{SUFFIX}", "1.000000", "10.000100", "2.000", "1")
     run("events", tmp_path / "p1.csv", "-o", tmp_path / "e.csv")
-    assert rows(tmp_path / "e.csv") == [["file", "event_type"], ["trend.lsg2", "single_trend_regime"]]
+    assert rows(tmp_path / "e.csv") == [["file", "event_type"], [f"trend{SUFFIX}", "single_trend_regime"]]
     run("clusters", tmp_path / "p1.csv", tmp_path / "c.csv")
     assert rows(tmp_path / "c.csv")[1][-1] == "trend_dominated"
 
 
 def test_wrong_use(run, blob, tmp_path, capsys):
     assert run() == 0 and "usage" in capsys.readouterr().out
-    (tmp_path / "bad.lsg2").write_bytes(b"LSG2xx")
+    (tmp_path / f"bad{SUFFIX}").write_bytes(MAGIC + b"xx")
     with pytest.raises(Exception, match="contain header"):
-        run("info", tmp_path / "bad.lsg2")
+        run("info", tmp_path / f"bad{SUFFIX}")
     (tmp_path / "none.csv").write_text("value\n")
     assert run("encode", tmp_path / "none.csv", tmp_path / "x", "--dt", 1, "--t0", "0", "--unit", "u") == 1
     for extra in ([], [tmp_path / "a", "-o", tmp_path / "b"]):
