@@ -41,9 +41,14 @@ PATTERNS = {
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
 
 
-def _hash(key: str, kind: str, step: int, half: Column) -> Column:
+def _column(x: Column | int | str) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def _hash(key: str, kind: Column | str, step: int, half: Column) -> Column:
     """60 keyed bits."""
-    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{key}|{kind}|{step}|"), half.cast("string")).cast("binary"), 256), 1, 15), 16, 10).cast("bigint")
+    text = F.concat(F.lit(f"{key}|"), _column(kind), F.lit(f"|{step}|"), half.cast("string"))
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("bigint")
 
 
 def _then(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -51,16 +56,17 @@ def _then(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def pair(left: Column, right: Column, a: int, b: int, key: str, kind: str, out: Callable[[Column, Column], Column] | None = None) -> Column:
+def pair(left: Column, right: Column, a: Column | int, b: Column | int, key: str, kind: Column | str, out: Callable[[Column, Column], Column]) -> Column:
     """The pair (left < a, right < b) permuted, as ``out(left, right)``."""
     state = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
+    a, b = _column(a), _column(b)
     for step in range(ROUNDS):
         if step % 2 == 0:
-            f = lambda s, step=step: F.struct(F.pmod(s["l"] + F.pmod(_hash(key, kind, step, s["r"]), F.lit(a)), F.lit(a)).alias("l"), s["r"].alias("r"))
+            f = lambda s, step=step: F.struct(F.pmod(s["l"] + F.pmod(_hash(key, kind, step, s["r"]), a), a).alias("l"), s["r"].alias("r"))
         else:
-            f = lambda s, step=step: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(_hash(key, kind, step, s["l"]), F.lit(b)), F.lit(b)).alias("r"))
+            f = lambda s, step=step: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(_hash(key, kind, step, s["l"]), b), b).alias("r"))
         state = _then(state, f)
-    return _then(state, lambda s: out(s["l"], s["r"]) if out else s["l"] * b + s["r"])
+    return _then(state, lambda s: out(s["l"], s["r"]))
 
 
 def _padded(v: Column, width: int | Column) -> Column:
@@ -88,12 +94,10 @@ def card(v: Column, key: str) -> Column:
 
     def permuted(body: Column) -> Column:
         # All but the check digit, as two halves of equal or nearly equal length (6 to 9 digits).
-        out = None
-        for n in range(12, 19):
-            lo, hi = n // 2, n - n // 2
-            got = pair(body.substr(1, lo), F.substring(body, lo + 1, hi), 10**lo, 10**hi, key, f"card{n}", lambda x, y, lo=lo, hi=hi: F.concat(_padded(x, lo), _padded(y, hi)))
-            out = F.when(F.length(body) == n, got) if out is None else out.when(F.length(body) == n, got)
-        return out
+        n = F.length(body)
+        lo, ten = F.floor(n / 2).cast("int"), F.lit(10.0)
+        hi = n - lo
+        return pair(body.substr(F.lit(1), lo), body.substr(lo + 1, hi), F.pow(ten, lo).cast("bigint"), F.pow(ten, hi).cast("bigint"), key, F.concat(F.lit("card"), n.cast("string")), lambda x, y: F.concat(_padded(x, lo), _padded(y, hi)))
 
     def checked(body: Column) -> Column:
         return F.concat(body, F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
