@@ -4,7 +4,8 @@ Buckets are rows (bucket, node): nodes that share a bucket may be linked.  A
 caller's ``verify`` keeps the true links among given pairs.  All pairs of a
 bucket are never emitted up front:
 
-1. every node is tested against its bucket's smallest node (a star);
+1. every node is tested against its bucket's smallest node, and against some
+   more members if wanted (stars);
 2. components of the links found are contracted, and buckets that now lie in
    one component are done;
 3. what is left is settled by the caller's ``settle``, which must link any two
@@ -71,26 +72,36 @@ def pairwise(rest: DataFrame, verify: Verify, fits: Callable[[Column, Column], C
     return verify(more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct())
 
 
-def linked(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column], settle: Verify | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column], settle: Verify | None = None, centres: int = 1) -> tuple[DataFrame, DataFrame]:
     """(links, components) of nodes given as (bucket, node, size) rows.
 
-    ``fits(size, size)`` is a cheap necessary condition on two nodes' sizes.
+    ``fits(size, size)`` is a cheap necessary condition on what two nodes have
+    as ``size``, a number or a struct; it is part of the joins' conditions.
     ``verify`` gets distinct pairs (a, b) with a < b and returns those linked;
-    ``settle`` gets rows (bucket, node, size, root) and returns links.  Links are those found by the tests: enough to connect each component.
+    ``settle`` gets rows (bucket, node, size, root) and returns links.  With
+    more ``centres``, nodes are also tested against members of least hashed
+    rank, another in each bucket: of a crowd in which many are linked, but not all with the
+    smallest, little is then left open.  Links are those found by the tests:
+    enough to connect each component.
     """
     sums = [F.sum(F.xxhash64(F.lit(k), "node") % 1_000_000_007).alias(f"sum{k}") for k in (1, 2)]
-    centre = buckets.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("c"), F.max("node").alias("top"), F.count("*").alias("members"), *sums)
+    least = [F.min(F.struct(*([F.xxhash64(F.lit(-k), "bucket", "node").alias("rank")] if k else []), "node", "size")).alias(f"c{k}") for k in range(centres)]
+    found = buckets.groupBy("bucket").agg(*least, F.max("node").alias("top"), F.count("*").alias("members"), *sums).where(F.col("c0.node") < F.col("top"))
+    # Two members need one test.
+    pick = F.array(*(F.struct(F.col(f"c{k}.node").alias("node"), F.col(f"c{k}.size").alias("size")) for k in range(centres)))
+    found = found.withColumn("centres", F.when(F.col("members") == 2, F.slice(pick, 1, 1)).otherwise(F.array_distinct(pick)))
     # Buckets with the same members are told by count and two sums; the first stands for them.
-    kept = centre.where(F.col("c.node") < F.col("top")).groupBy("members", "sum1", "sum2", "c").agg(F.min("bucket").alias("bucket"))
-    kept = kept.select("bucket", "members", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"))
-    members = cut(buckets.join(kept, "bucket").select("bucket", "node", "size", "members", "centre", "centre_size"), "members", 2)
-    star = members.where(F.col("node") != F.col("centre")).where(fits(F.col("size"), F.col("centre_size"))).select(*pairs(F.col("node"), F.col("centre"))).distinct()
+    kept = found.groupBy("members", "sum1", "sum2").agg(F.min(F.struct("bucket", "centres")).alias("b")).select("members", "b.bucket", "b.centres")
+    members = cut(buckets.join(kept, "bucket").select("bucket", "node", "size", "members", "centres"), "members", 2)
+    tests = F.filter("centres", lambda c: (c["node"] != F.col("node")) & fits(F.col("size"), c["size"]))
+    star = members.select("node", F.explode(tests).alias("c")).select(*pairs(F.col("node"), F.col("c.node"))).distinct()
     links = cut(verify(star), "links", 1)
     comp = components(links)
-    # What a star leaves open: buckets of three or more that lie in several components.
+    # What the stars leave open: buckets of three or more that lie in several components.
     at = members.where("members > 2").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    rest = cut(at.join(open_, "bucket").where("node <> centre").select("bucket", "node", "size", "root"), "rest", 1)
+    untested = ~F.exists("centres", lambda c: c["node"] == F.col("node"))
+    rest = cut(at.join(open_, "bucket").where(untested).select("bucket", "node", "size", "root"), "rest", 1)
     if not rest.isEmpty():
         links = cut(links.unionByName(settle(rest) if settle else pairwise(rest, verify, fits)), "links", 1)
         comp = components(links)
