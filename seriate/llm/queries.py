@@ -31,7 +31,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents"))
+    return lines.dedup(table(spark, sf_dir, "documents"), lines.Params(short=True))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
