@@ -14,6 +14,8 @@ of one half to the letters and digits of the other, each within its class.
 
 Defined results: null texts stay null with 0 values; empty texts stay empty;
 texts are read whole; values that fail their validation stay as they are;
+numbers with one blank or hyphen between them are one run, in which cards and
+other values are found between separators;
 repeated rows get the same result; empty tables give empty results; other
 columns are carried or ignored.
 """
@@ -33,12 +35,16 @@ PATTERNS = {
     "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "secret": r"\b[0-9a-fA-F]{32,64}\b",
     "date": r"\b(?:1[89]|2[01])\d\d-\d\d-\d\d\b",
-    "card": r"\b\d(?:[ -]?\d){12,18}\b",
+    "card": r"\b\d(?:[ -]?\d){12,}+\b",
     "address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "phone": r"(?:\+1 ?)?\(\d{3}\) ?\d{3}-\d{4}\b",
     "social": r"\b\d{3}-\d{2}-\d{4}\b",
 }
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
+#: Signs (not characters) put around the cards of a text before its values are replaced.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+VALUES = PATTERNS | {"card": f"{OPEN}[0-9 -]+{CLOSE}"}
+SOME = "|".join(f"(?:{x})" for x in VALUES.values())
 
 
 def _column(x: Column | int | str) -> Column:
@@ -106,6 +112,29 @@ def card(v: Column, key: str) -> Column:
     return F.when(luhn(digits) % 10 == 0, _then(new, lambda d: refill(v, d))).otherwise(v)
 
 
+def marked(v: Column) -> Column:
+    """A run of digits with its cards between signs: from its start, the longest part between separators that is valid, and so on.
+
+    A run of up to 19 digits without any is one invalid card, unless it holds a value of another kind.
+    """
+    ok = lambda t: _then(F.regexp_replace(t, "[^0-9]", ""), lambda d: F.when(F.length(d).between(13, 19), luhn(d) % 10 == 0).otherwise(False))
+
+    def whole(ps: Column) -> Column:
+        # Digits and separators in turn.
+        at = lambda i, j: F.array_join(F.slice(ps, i, j - i + 1), "")
+        end = lambda i: F.array_max(F.filter(F.sequence(i, F.least(i + 36, F.size(ps)), F.lit(2)), lambda j: ok(at(i, j))))
+
+        def step(s: Column, i: Column) -> Column:
+            plain = F.struct(F.concat(s["t"], F.element_at(ps, i)).alias("t"), (i + 1).alias("i"))
+            found = lambda e: F.when(e.isNull(), plain).otherwise(F.struct(F.concat(s["t"], F.lit(OPEN), at(i, e), F.lit(CLOSE)).alias("t"), (e + 1).alias("i")))
+            return F.when(i < s["i"], s).when(i % 2 == 0, plain).otherwise(_then(end(i), found))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(ps)), F.struct(F.lit("").alias("t"), F.lit(1).alias("i")), step, lambda s: s["t"])
+
+    one = ~v.rlike("|".join(f"(?:{x})" for k, x in PATTERNS.items() if k != "card")) & (F.length(F.regexp_replace(v, "[^0-9]", "")) <= 19)
+    return _then(whole(F.split(v, "(?<=[ -])|(?=[ -])")), lambda t: F.when(~t.contains(OPEN) & one, F.concat(F.lit(OPEN), v, F.lit(CLOSE))).otherwise(t))
+
+
 def address(v: Column, key: str) -> Column:
     def go(o: Column) -> Column:
         n = [o[k].cast("int") for k in range(4)]
@@ -175,9 +204,9 @@ def mail(v: Column, key: str) -> Column:
 
 
 def pseudonym(v: Column, key: str) -> Column:
-    make = {"mail": mail, "secret": lambda x, k: string(x, k, "secret", 6), "card": card, "address": address, "date": date, "phone": phone, "social": social}
+    make = {"mail": mail, "secret": lambda x, k: string(x, k, "secret", 6), "card": lambda x, k: card(F.translate(x, OPEN + CLOSE, ""), k), "address": address, "date": date, "phone": phone, "social": social}
     out = None
-    for kind, pattern in PATTERNS.items():
+    for kind, pattern in VALUES.items():
         hit = v.rlike(f"^(?:{pattern})$")
         out = F.when(hit, make[kind](v, key)) if out is None else out.when(hit, make[kind](v, key))
     return out.otherwise(v)
@@ -185,12 +214,15 @@ def pseudonym(v: Column, key: str) -> Column:
 
 def replaced(docs: DataFrame, key: str = KEY, text: str = "text", found: str = "__found", new: str = "__new") -> DataFrame:
     """``docs`` with its text rewritten, and the values found and their pseudonyms as arrays."""
-    t = F.col(text)
-    some = t.rlike("[0-9@]")
-    rows = docs.withColumn(found, F.when(some, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    t, runs = F.col(text), PATTERNS["card"]
+    woven = lambda x, pattern, values: F.array_join(F.transform(F.arrays_zip(F.split(x, pattern, -1).alias("a"), values.alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit("")))), "")
+    cards = F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda v: F.when(v.rlike(f"^(?:{runs})$") & ~v.rlike(f"^(?:{PATTERNS['secret']})$"), marked(v)).otherwise(v))
+    rows = docs.withColumn("__text", F.when(t.rlike(runs), woven(t, ANY, cards)).otherwise(t))
+    m = F.col("__text")
+    rows = rows.withColumn(found, F.when(m.rlike("[0-9@]"), F.regexp_extract_all(m, F.lit(SOME), F.lit(0))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda v: pseudonym(v, key))).otherwise(F.array().cast("array<string>")))
-    woven = F.array_join(F.transform(F.arrays_zip(F.split(t, ANY, -1).alias("a"), F.col(new).alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit("")))), "")
-    return rows.withColumn(text, F.when(F.size(found) > 0, woven).otherwise(t))
+    rows = rows.withColumn(found, F.transform(found, lambda v: F.translate(v, OPEN + CLOSE, "")))
+    return rows.withColumn(text, F.when(F.size(found) > 0, woven(m, SOME, F.col(new))).otherwise(t)).drop("__text")
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
