@@ -34,10 +34,10 @@ ROUNDS = 8
 PATTERNS = {
     "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "secret": r"\b[0-9a-fA-F]{32,64}\b",
-    "date": r"\b(?:1[89]|2[01])\d\d-\d\d-\d\d\b",
+    "date": r"\b(?:1[89]|2[01])\d\d-\d\d-\d\d(?=T\d|\b)",
     "card": r"\b\d(?:[ -]?\d){12,}+\b",
     "address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-    "phone": r"(?:\+1 ?)?\(\d{3}\) ?\d{3}-\d{4}\b",
+    "phone": r"(?:\+1 ?)?\(\d{3}\) ?\d{3}-\d{4}\b|(?:\+1[ .-]?|\b)\d{3}[.-]\d{3}[.-]\d{4}\b|\+1 ?\d{3} ?\d{3} ?\d{4}\b",
     "social": r"\b\d{3}-\d{2}-\d{4}\b",
 }
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
