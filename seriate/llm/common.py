@@ -6,18 +6,39 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one 8-byte key that may be broadcast (4 MB, some 20 MB when hashed); larger sides shuffle.
 BROADCAST_KEYS = 500_000
 
 
+#: Bytes of the Arrow batches that Python workers get.  A batch is copied some times on its way (column
+#: vectors, Arrow buffers, numpy arrays), so this bounds a worker's memory; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` over batches of bounded bytes; a worker gives back what it has freed once a task ends."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where unset (tests), a new local one."""
+    """The shared folder of ``spark.checkpoint.dir``; where unset, on a local master only (tests), a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="seriate-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -53,7 +74,13 @@ def gathered(df: DataFrame, waves: int = 2) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` once nothing lazy reads them."""
+    """Delete tables made by :func:`cut` once nothing lazy reads them.
+
+    Spark's cleaner frees the shuffle files of finished plans once the driver
+    has collected its garbage, which it else seldom does.
+    """
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
     for t in tables:
         path = getattr(t, "_seriate_path", None)
         if path:

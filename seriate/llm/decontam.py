@@ -1,17 +1,20 @@
 """Benchmark decontamination: pigeonhole pieces and Myers' bit-parallel distance.
 
 Items and documents are lower-cased and parted into words at white space and
-ASCII signs.  An item of m words may differ by ``min(m // 5, m // 4 - 1)``
-word edits; it is split into one piece more than that, of at least 4 words, so
-at least one piece occurs unchanged wherever the item does within its budget.
-Exact piece hits are found with a bit table over hashed 4-word windows, and
-the surroundings are verified with Myers' algorithm over words.
-
-Defined results: items under 4 words, empty and null items match nothing;
-null and empty texts contain nothing; texts are searched whole; of several
-occurrences the least distance and then the earliest end count; repeated
-rows are judged each, repeated item ids as one item with several texts; empty
-tables give empty results; other columns are carried or ignored.
+ASCII signs; letters of scripts written without blanks are a word each.  An
+item of m words may differ by ``min(m // 5, m // 4 - 1)`` word edits (none under
+8 words); it is split into one piece more than that, of at least 4 words (all
+of a shorter item), so at least one piece occurs unchanged wherever the item
+does within its budget.  Exact piece hits are found with a bit table over
+hashed word windows of the pieces' lengths; where enough of the item's words
+are around a hit, these surroundings are verified with Myers' algorithm over words.
+
+Defined results: items without a word match nothing; null and empty texts
+contain nothing; texts are searched whole; of several occurrences the least
+distance and then the earliest end count; repeated rows are judged each,
+repeated item ids (null is one) as one item with several texts, in however many blocks
+the benchmark is read; empty tables give empty results; ids may be of any type;
+other columns are carried or ignored.
 """
 
 from __future__ import annotations
@@ -21,24 +24,36 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textkit
+from .common import mapped
 
 PIECE = 4
 #: Words of benchmark items that one pass over the documents looks for; more items take more passes.
 BLOCK_WORDS = 1_000_000
 _TABLE = 20
+#: Candidate places looked at together.
+_CHUNK = 1 << 16
+UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 
 def budget(m: int) -> int:
     return max(0, min(m // 5, m // 4 - 1))
 
 
+def prepared(text: str | None) -> str:
+    low = (text or "").lower()
+    return low if low.isascii() or not UNSPACED.search(low) else UNSPACED.sub(r" \g<0> ", low)
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and each text's first."""
-    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = [prepared(t).encode("utf-8", "surrogatepass") for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
     data = np.frombuffer(b"".join(raw), np.uint8)
     starts, ends, bounds = textkit.word_spans(data, offsets, textkit.SIGNS)
@@ -47,26 +62,28 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """A block of items: their words, and their pieces by the hash of the first 4 words."""
+    """A block of items: their words, and by length their pieces' hashes in order with (item, start)."""
 
     ids: list
     items: list[np.ndarray]
-    hashes: np.ndarray
-    pieces: np.ndarray  # item, start, length
+    pieces: dict[int, tuple[np.ndarray, np.ndarray]]
     table: np.ndarray
 
 
 def index(ids: list, items: list[np.ndarray]) -> Index:
-    pieces = []
+    by_length: dict[int, list[tuple[int, int]]] = {}
     for k, w in enumerate(items):
-        cuts = np.linspace(0, len(w), budget(len(w)) + 2).astype(int) if len(w) >= PIECE else []
-        pieces += [(k, a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    p = np.array(pieces, np.int64).reshape(-1, 3)
-    h = np.array([textkit.windows(items[k][a : a + PIECE], PIECE, 10)[0] for k, a, _ in p], np.uint64)
-    order = np.argsort(h, kind="stable")
-    table = np.zeros(1 << _TABLE, bool)
-    table[h >> np.uint64(64 - _TABLE)] = True
-    return Index(ids, items, h[order], p[order], table)
+        cuts = np.linspace(0, len(w), budget(len(w)) + 2).astype(int)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b > a:
+                by_length.setdefault(b - a, []).append((k, a))
+    pieces, table = {}, np.zeros(1 << _TABLE, bool)
+    for size, at in by_length.items():
+        h = np.array([textkit.windows(items[k][a : a + size], size, size)[0] for k, a in at], np.uint64)
+        order = np.argsort(h, kind="stable")
+        pieces[size] = h[order], np.array(at, np.int64)[order]
+        table[h >> np.uint64(64 - _TABLE)] = True
+    return Index(ids, items, pieces, table)
 
 
 def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -94,32 +111,40 @@ def myers(pattern: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def places(ix: Index, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, item, where the item would start) of all piece hits, in chunks."""
+    for size, (hashes, at) in ix.pieces.items():
+        probe = textkit.windows(h, size, size)
+        p = np.flatnonzero(ix.table[probe >> np.uint64(64 - _TABLE)])
+        lo = np.searchsorted(hashes, probe[p], "left")
+        n = np.searchsorted(hashes, probe[p], "right") - lo
+        row = np.searchsorted(bounds, p, "right") - 1
+        keep = (n > 0) & (p + size <= bounds[row + 1])
+        p, lo, n, row = p[keep], lo[keep], n[keep], row[keep]
+        for i, j in textkit.groups(np.concatenate([[0], np.cumsum(n)]), _CHUNK):
+            own = np.repeat(np.arange(i, j), n[i:j])
+            piece = at[np.arange(len(own)) - np.repeat(np.cumsum(n[i:j]) - n[i:j], n[i:j]) + lo[own]]
+            yield row[own], piece[:, 0], p[own] - piece[:, 1]
+
+
 def search(ix: Index, texts: list[str | None]) -> Iterator[tuple[int, object, int, int, int]]:
     """(row, item id, distance, budget, end word) of each item found in each text."""
     for i, j in textkit.text_groups([t or "" for t in texts]):
         h, bounds = words(texts[i:j])
-        probe = textkit.windows(h, PIECE, 10)
-        at = np.flatnonzero(ix.table[probe >> np.uint64(64 - _TABLE)])
-        lo = np.searchsorted(ix.hashes, probe[at])
-        keep = lo < len(ix.hashes)
-        at, lo = at[keep], lo[keep]
-        keep = ix.hashes[lo] == probe[at]
-        at, lo = at[keep], lo[keep]
-        row = np.searchsorted(bounds, at, "right") - 1
         found: dict[tuple[int, object], tuple[int, int, int]] = {}
         tried: set[tuple[int, int, int]] = set()
-        for p, first, r in zip(at.tolist(), lo.tolist(), row.tolist(), strict=True):
-            while first < len(ix.hashes) and ix.hashes[first] == probe[p]:
-                k, start, size = ix.pieces[first].tolist()
-                first += 1
-                item = ix.items[k]
-                a, b = int(bounds[r]), int(bounds[r + 1])
-                if p + size > b or (k, r, p - start) in tried or not np.array_equal(h[p : p + size], item[start : start + size]):
+        for chunk in places(ix, h, bounds):
+            for r, k, start in zip(*(c.tolist() for c in chunk), strict=True):
+                if (r, k, start) in tried:
                     continue
-                tried.add((k, r, p - start))
+                tried.add((r, k, start))
+                item, a, b = ix.items[k], int(bounds[r]), int(bounds[r + 1])
                 e, m = budget(len(item)), len(item)
-                left = max(a, p - start - e)
-                d, end = myers(item, h[left : min(b, p - start + m + e)])
+                left = max(a, start - e)
+                near = h[left : min(b, start + m + e)]
+                if np.isin(item, near).sum() < m - e:  # each edit takes one of the item's words at most
+                    continue
+                d, end = myers(item, near)
                 if d <= e:
                     new, key = (d, left - a + end, e), (r, ix.ids[k])
                     found[key] = min(found.get(key, new), new)
@@ -127,12 +152,14 @@ def search(ix: Index, texts: list[str | None]) -> Iterator[tuple[int, object, in
             yield i + r, k, d, e, end
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = BLOCK_WORDS) -> Iterator[Index]:
-    """The items in blocks of bounded size, read one partition at a time."""
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int | None = None) -> Iterator[Index]:
+    """The items in blocks of about ``most`` words, read one partition at a time; all texts of an id are in one block."""
+    most = most or BLOCK_WORDS
     ids, items, size = [], [], 0
-    for r in benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).toLocalIterator():
+    rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).distinct().orderBy("i")
+    for r in rows.toLocalIterator():
         w, _ = words([r["t"]])
-        if size and size + len(w) > most:
+        if size and size + len(w) > most and r["i"] != ids[-1]:
             yield index(ids, items)
             ids, items, size = [], [], 0
         ids.append(r["i"])
@@ -143,21 +170,22 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """A row for each document and item found in it: distance, budget and the end word."""
-    kind, item_kind = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
     rows, out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")), None
+    numbers = ["distance", "budget", "end_word"]
+    schema = StructType([StructField("k", docs.schema[key].dataType), StructField("i", benchmark.schema[item].dataType), *(StructField(c, LongType()) for c in numbers)])
+    kind = to_arrow_type(benchmark.schema[item].dataType)
     for block in blocks(benchmark, item):
-        held = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one item
+        held = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one id's texts
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 got = list(search(held.value, b.column(1).to_pylist()))
-                cols = list(zip(*got, strict=True)) if got else [[]] * 5
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c) for c in cols[1:])], names=["k", "i", "distance", "budget", "end_word"]) if got else pa.RecordBatch.from_arrays([b.column(0).slice(0, 0), pa.array([], item_type), *(pa.array([], pa.int64()) for _ in range(3))], names=["k", "i", "distance", "budget", "end_word"])
+                row, ids, *rest = zip(*got, strict=True) if got else [[]] * 5
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(ids, kind), *(pa.array(c, pa.int64()) for c in rest)], names=schema.names)
 
-        item_type = pa.string() if item_kind == "string" else pa.int64()
-        part = rows.mapInArrow(run, f"k {kind}, i {item_kind}, distance bigint, budget bigint, end_word bigint")
+        part = mapped(rows, run, schema)
         out = part if out is None else out.unionByName(part)
-    return out.select(F.col("k").alias(key), F.col("i").alias(item), "distance", "budget", "end_word")
+    return out.select(F.col("k").alias(key), F.col("i").alias(item), *numbers)
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
@@ -172,5 +200,5 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text
                 clean[[r for r, *_ in search(held.value, b.column(at).to_pylist())]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = mapped(docs, run, docs.schema)
     return docs

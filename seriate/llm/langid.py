@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import split_remainder
+from .common import mapped, split_remainder
 
 UND = "und"
 
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, p: Params = Params(), text: str = "text", lang: str = "
             x = profiles(b.column("t").to_pylist(), p.bits, p.orders)
             yield pa.RecordBatch.from_pydict({"k": b.column("k"), "l": b.column("l"), "x": pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())})
 
-    got = sample.mapInArrow(features, "k long, l string, x binary").orderBy(F.xxhash64("k"), "k", "l").limit(p.most).collect()
+    got = mapped(sample, features, "k long, l string, x binary").orderBy(F.xxhash64("k"), "k", "l").limit(p.most).collect()
     langs = sorted({r["l"] for r in got})
     if not langs:
         return None
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", key: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(vague)], names=["k", "lang_pred", "score", "ambiguous"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, lang_pred string, score double, ambiguous boolean")
+    out = mapped(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, lang_pred string, score double, ambiguous boolean")
     return out.select(F.col("k").alias(key), "lang_pred", "score", "ambiguous")
 
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
+from .common import mapped
 
 WIDTH = 192
 #: Block rows of an image at most (the format ends at 8191).
@@ -394,7 +395,7 @@ def round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, schema).select(F.col("k").alias(key), *NAMES)
+    return mapped(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, schema).select(F.col("k").alias(key), *NAMES)
 
 
 NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

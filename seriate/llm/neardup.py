@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, textkit
-from .common import cut, gathered, with_bounded_broadcast
+from .common import cut, gathered, mapped, with_bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, p: Params, text: str, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (p.left + p.right)), flat)], names=["k", "n", "d1", "d2", "sig"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n bigint, d1 bigint, d2 bigint, sig array<bigint>")
+    return mapped(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, n bigint, d1 bigint, d2 bigint, sig array<bigint>")
 
 
 def tables(nodes: DataFrame, p: Params) -> DataFrame:
@@ -123,7 +123,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, most: int, p: Params, text: str, ke
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=["node", "s"])
 
     texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("t")).join(with_bounded_broadcast(ids, most), "node", "left_semi")
-    return texts.mapInArrow(sets, "node bigint, s array<bigint>").dropDuplicates(["node"])
+    return mapped(texts, sets, "node bigint, s array<bigint>").dropDuplicates(["node"])
 
 
 def verifier(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
@@ -154,7 +154,7 @@ def settler(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
 
     def block(table: pa.Table) -> pa.Table:
         node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
-        arrays = [np.asarray(x, np.int64) for x in table.column("s").to_pylist()]
+        arrays = [x.values.to_numpy(zero_copy_only=False) for x in table.column("s")]
         sizes = np.array([len(x) for x in arrays])
         owner, flat = np.repeat(np.arange(len(node)), sizes), np.concatenate(arrays)
         order = np.argsort(flat, kind="stable")

@@ -10,7 +10,8 @@ Defined results: the key is the id as text (null: empty text, so null ids
 share a shard); a null text has size 16 and checksum 0; ``slot`` runs gapless
 from 0 in each shard in the order of (block, id, size, checksum), where
 repeated rows take adjacent slots in any order; empty tables give empty
-results; other columns are ignored.
+results; other columns are ignored, or carried (but for those that have a name
+of the result) by :func:`dealt`.
 """
 
 from __future__ import annotations
@@ -47,12 +48,21 @@ def shard_of(path: Column, shards: int) -> Column:
     return F.array_max(F.filter(path, lambda j: j < shards)).cast("int")
 
 
+RESULT = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def assign(docs: DataFrame, shards: int = 40, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: its size, shard, slot and the shard it has with one shard more."""
+    return dealt(docs.select(key, text), shards, blocks, key, text).select(*RESULT)
+
+
+def dealt(docs: DataFrame, shards: int = 40, blocks: int = BLOCKS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of :func:`assign` with the text and all other columns; the one shuffle of the texts is by shard and block."""
+    rest = F.struct(F.lit(None).alias(RESULT[0]), *(F.col(c) for c in docs.columns if c != key and c not in RESULT)).alias("rest")
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))
     k = key_text(F.col(key))
-    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(raw).cast("bigint") + 16).alias("size"), F.crc32(raw).alias("text_crc32"), jumps(k, shards + 1).alias("path"), F.pmod(draw(k, F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
-    rows = rows.select("doc_id", "size", "text_crc32", shard_of(F.col("path"), shards).alias("shard"), shard_of(F.col("path"), shards + 1).alias("grown_shard"), "block")
+    rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(raw).cast("bigint") + 16).alias("size"), F.crc32(raw).alias("text_crc32"), jumps(k, shards + 1).alias("path"), F.pmod(draw(k, F.lit("block")), F.lit(blocks)).cast("int").alias("block"), rest)
+    rows = rows.select("doc_id", "size", "text_crc32", shard_of(F.col("path"), shards).alias("shard"), shard_of(F.col("path"), shards + 1).alias("grown_shard"), "block", "rest")
     # At most shards * blocks counts, so their running sum may be taken on one task.
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
@@ -60,7 +70,8 @@ def assign(docs: DataFrame, shards: int = 40, blocks: int = BLOCKS, key: str = "
     order = W.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32")
     numbered = rows.withColumn("within", F.row_number().over(order) - 1)
     out = numbered.join(F.broadcast(offsets), ["shard", "block"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("within")).cast("bigint").alias("slot"), "grown_shard")
+    out = out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("within")).cast("bigint").alias("slot"), "grown_shard", "rest")
+    return out.select(*RESULT, F.col("rest").dropFields(RESULT[0]).alias("rest")).select(*RESULT, "rest.*") if len(docs.columns) > 1 else out.select(*RESULT)
 
 
 #: The same in DuckDB's SQL; {docs} is the table.

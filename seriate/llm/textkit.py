@@ -51,7 +51,7 @@ _rng = np.random.default_rng(20240229)
 _BYTES = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTES.copy()
 _FOLDED[65:91] = _BYTES[97:123]
-_tables = [_powers(_BASE, BLOCK + 1), _powers(pow(_BASE, -1, 1 << 64), BLOCK + 1)]
+_UP, _DOWN = _powers(_BASE, BLOCK + 1), _powers(pow(_BASE, -1, 1 << 64), BLOCK + 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -90,12 +90,12 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
         base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
         size = int(ends[j - 1]) - base
-        if size + 1 > len(_tables[0]):
-            _tables[:] = [_powers(_BASE, size + 1), _powers(pow(_BASE, -1, 1 << 64), size + 1)]
+        # A word longer than a block needs longer tables, which are not kept.
+        up, down = (_UP, _DOWN) if size <= BLOCK else (_powers(_BASE, size + 1), _powers(pow(_BASE, -1, 1 << 64), size + 1))
         sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(table[data[base : base + size]] * _tables[0][:size], out=sums[1:])
+        np.cumsum(table[data[base : base + size]] * up[:size], out=sums[1:])
         a, b = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (sums[b] - sums[a]) * _tables[1][a] + (b - a).astype(np.uint64)
+        out[i:j] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)
         i = j
     return mix(out)
 

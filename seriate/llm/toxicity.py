@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import cut, drop, split_remainder
+from .common import cut, drop, mapped, split_remainder
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), text: str = "t
     has, lacks = F.col("pos") + 0.5, F.col("neg") + 0.5
     ratio = F.log(has / lacks) - F.log(F.lit((pos + 1.0) / (neg + 1.0)))
     best = (
-        sample.select("t", "y").repartition(8).mapInArrow(count, "b long, neg long, pos long")
+        mapped(sample.select("t", "y").repartition(8), count, "b long, neg long, pos long")
         .groupBy("b").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
         .where(F.col("neg") + F.col("pos") >= p.least_df)
         .select("b", ratio.alias("r"), (F.abs(ratio) / F.sqrt(1 / has + 1 / lacks)).alias("z"))
@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), text: str = "t
             yield pa.RecordBatch.from_pydict({"k": b.column("k"), "y": b.column("y"), "f": pa.array([x.tobytes() for x in found], pa.binary())})
 
     # p.sample rows of at most 4 bytes a feature.
-    got = sorted(sample.mapInArrow(features, "k long, y int, f binary").collect(), key=lambda x: x["k"])
+    got = sorted(mapped(sample, features, "k long, y int, f binary").collect(), key=lambda x: x["k"])
     drop(sample)
     lists = [np.searchsorted(buckets, np.frombuffer(x["f"], np.uint32)) for x in got]
     w, b = _logistic(lists, np.array([float(x["y"] > 0) for x in got]), r, p)
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(of(b.column(1)))], names=["k", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, score double").select(F.col("k").alias(key), "score")
+    return mapped(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, score double").select(F.col("k").alias(key), "score")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -207,7 +207,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text: str
         for b in batches:
             yield b.filter(pa.array(of(b.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op1(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
