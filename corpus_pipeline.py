@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a table; :func:`run` writes each as Parquet in the shared scratch
 folder and reads it again for the next.
+
+Defined results: a null or empty text scores as the toxicity model's intercept, is no
+near copy, holds no benchmark item and has no words, so it passes every stage and is
+in the mix once for each whole copy of its source's rate; a null id is never merged
+with another; repeated rows are one document to the near-copy search and units of their
+own to the mix; other columns are carried by all stages, but for those that are named as a
+result of the last (size, text_crc32, law, shard, slot, grown_shard); an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,8 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard and slot."""
-    return sharding.assign(docs)
+    """Each row with its shard and slot: the corpus, ready to be written shard by shard."""
+    return sharding.dealt(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
