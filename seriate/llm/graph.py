@@ -9,9 +9,8 @@ bucket are never emitted up front:
 2. components of the links found are contracted, and buckets that now lie in
    one component are done;
 3. what is left is settled by the caller's ``settle``, which must link any two
-   nodes of a bucket that belong together and lie in different components; by
-   default the remaining pairs are tested one by one.  One bucket stands for
-   all with the same members.
+   nodes of a bucket that belong together and lie in different components.  One
+   bucket stands for all with the same members.
 
 So every two nodes of a bucket end up in one component, or were tested.
 """
@@ -65,14 +64,7 @@ def pairs(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def pairwise(rest: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column]) -> DataFrame:
-    """Links among the pairs of different components that share a bucket."""
-    other = rest.select("bucket", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-    more = rest.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & fits(F.col("size"), F.col("size2")))
-    return verify(more.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct())
-
-
-def linked(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column], settle: Verify | None = None, centres: int = 1) -> tuple[DataFrame, DataFrame]:
+def linked(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column], Column], settle: Verify, centres: int = 1) -> tuple[DataFrame, DataFrame]:
     """(links, components) of nodes given as (bucket, node, size) rows.
 
     ``fits(size, size)`` is a cheap necessary condition on what two nodes have
@@ -92,18 +84,18 @@ def linked(buckets: DataFrame, verify: Verify, fits: Callable[[Column, Column],
     found = found.withColumn("centres", F.when(F.col("members") == 2, F.slice(pick, 1, 1)).otherwise(F.array_distinct(pick)))
     # Buckets with the same members are told by count and two sums; the first stands for them.
     kept = found.groupBy("members", "sum1", "sum2").agg(F.min(F.struct("bucket", "centres")).alias("b")).select("members", "b.bucket", "b.centres")
-    members = cut(buckets.join(kept, "bucket").select("bucket", "node", "size", "members", "centres"), "members", 2)
+    members = cut(buckets.join(kept, "bucket").select("bucket", "node", "size", "members", "centres"), "members")
     tests = F.filter("centres", lambda c: (c["node"] != F.col("node")) & fits(F.col("size"), c["size"]))
     star = members.select("node", F.explode(tests).alias("c")).select(*pairs(F.col("node"), F.col("c.node"))).distinct()
-    links = cut(verify(star), "links", 1)
+    links = cut(verify(star), "links")
     comp = components(links)
     # What the stars leave open: buckets of three or more that lie in several components.
     at = members.where("members > 2").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
     untested = ~F.exists("centres", lambda c: c["node"] == F.col("node"))
-    rest = cut(at.join(open_, "bucket").where(untested).select("bucket", "node", "size", "root"), "rest", 1)
+    rest = cut(at.join(open_, "bucket").where(untested).select("bucket", "node", "size", "root"), "rest")
     if not rest.isEmpty():
-        links = cut(links.unionByName(settle(rest) if settle else pairwise(rest, verify, fits)), "links", 1)
+        links = cut(links.unionByName(settle(rest)), "links")
         comp = components(links)
     drop(members, rest)
     return links, comp
