@@ -93,7 +93,7 @@ def _tagged(spark: SparkSession, path: str) -> DataFrame:
 
 def _profile_rows(payloads: DataFrame) -> list[list[str]]:
     rows = semantics.profiles(semantics.tags(blobs.segments(payloads)), blobs.metadata(payloads))
-    return [fmt.profile_row(r.asDict()) for r in rows.select(*semantics.PROFILE_COLUMNS).toLocalIterator()]
+    return [fmt.profile_row(r.asDict()) for r in rows.select(*semantics.PROFILE_COLUMNS).orderBy("file").toLocalIterator()]
 
 
 def run(a: argparse.Namespace, spark: SparkSession) -> None:
@@ -117,11 +117,10 @@ def run(a: argparse.Namespace, spark: SparkSession) -> None:
     elif a.command == "export-profile":
         _save(a.output, semantics.PROFILE_COLUMNS, _profile_rows(_blob(spark, a.input)))
     elif a.command == "batch-profile":
-        found = blobs.read(spark, *a.inputs, recursive=a.recursive)
-        rows = _profile_rows(found)
+        rows = [[os.path.basename(r[0]), *r[1:]] for r in _profile_rows(semantics.by_path(blobs.read(spark, *a.inputs, recursive=a.recursive)))]
         if not rows:
             raise SystemExit("no encoded files found")
-        _save(a.output, semantics.PROFILE_COLUMNS, sorted(rows))
+        _save(a.output, semantics.PROFILE_COLUMNS, rows)
     elif a.command == "events":
         if bool(a.output) == bool(a.out):
             raise SystemExit("give the output either as second argument or with -o")

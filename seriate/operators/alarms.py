@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.bits import float_floordiv
 
 
+#: Bins that one row of the growing grid stands for.
+GRID = 1 << 16
+
+
 def type_name(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", "_").otherwise(c)
 
@@ -45,5 +49,7 @@ def intensity(alarms: DataFrame, dt: float = 60.0) -> DataFrame:
     at = float_floordiv((micros(F.col("ts")) - F.col("first")) / 1e6, F.lit(float(dt))).cast("bigint")
     sums = alarms.crossJoin(F.broadcast(ends.select("first"))).groupBy(at.alias("bin"), type_name(F.col("type")).alias("type")).agg(F.sum("severity").alias("severity"))
     weighted = sums.join(type_weights(alarms).select("type", "weight"), "type", "left").groupBy("bin").agg(F.sum(F.coalesce("weight", F.lit(1.0)) * F.col("severity")).alias("value"))
-    grid = ends.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1)).alias("bin"))
+    # The grid grows in two steps, so that neither an array nor a task holds a long log's bins.
+    runs = ends.select("n_bins", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_bins") - 1, F.lit(GRID).cast("bigint"))).alias("run")).repartition("run")
+    grid = runs.select(F.explode(F.sequence(F.col("run"), F.least(F.col("run") + GRID, F.col("n_bins")) - 1)).alias("bin"))
     return grid.join(weighted, "bin", "left").select("bin", F.coalesce("value", F.lit(0.0)).alias("value"))

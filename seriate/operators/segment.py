@@ -27,6 +27,10 @@ def _then(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+#: Starts that the fold gathers before it puts them aside, so that it never copies all that it has found.
+GATHERED = 256
+
+
 def starts(sorted_points: Column, model: str, least: int, most: int, threshold: float) -> Column:
     """Start positions of adaptive segments, by one ordered fold with constant state.
 
@@ -35,12 +39,13 @@ def starts(sorted_points: Column, model: str, least: int, most: int, threshold:
     under ``threshold`` and it is not full.  The error follows from running
     sums of values shifted by the segment's first.
     """
-    names = ("n", "closed", "x0", "prev", "sy", "syy", "sty", "sdd", "starts")
+    names = ("n", "closed", "x0", "prev", "sy", "syy", "sty", "sdd", "new", "aside")
 
     def state(*cols: Column) -> Column:
         return F.struct(*(c.alias(k) for k, c in zip(names, cols, strict=True)))
 
     zero, none = F.lit(0.0), F.array().cast("array<bigint>")
+    nothing = F.array().cast("array<array<bigint>>")
     first_closed = F.lit(least == 1 and (threshold < 0 or most == 1))
 
     def fold(s: Column, p: Column) -> Column:
@@ -59,13 +64,15 @@ def starts(sorted_points: Column, model: str, least: int, most: int, threshold:
                 sse = g["sdd"]
             over = (g["n"] >= least) & (F.greatest(sse, zero) / m > threshold)
             take = (s["n"] > 0) & ~s["closed"] & ((g["n"] <= least) | ~over)
-            new = state(F.lit(1).cast("bigint"), first_closed, p["value"], p["value"], zero, zero, zero, zero, F.concat(s["starts"], F.array(p["idx"])))
-            return F.when(take, state(g["n"], over | (g["n"] >= most) & (g["n"] >= least), s["x0"], p["value"], g["sy"], g["syy"], g["sty"], g["sdd"], s["starts"])).otherwise(new)
+            full, own = F.size(s["new"]) >= GATHERED, F.array(p["idx"])
+            found = F.when(full, own).otherwise(F.concat(s["new"], own)), F.when(full, F.concat(s["aside"], F.array(s["new"]))).otherwise(s["aside"])
+            new = state(F.lit(1).cast("bigint"), first_closed, p["value"], p["value"], zero, zero, zero, zero, *found)
+            return F.when(take, state(g["n"], over | (g["n"] >= most) & (g["n"] >= least), s["x0"], p["value"], g["sy"], g["syy"], g["sty"], g["sdd"], s["new"], s["aside"])).otherwise(new)
 
         return _then(grown, decide)
 
-    start = state(F.lit(0).cast("bigint"), F.lit(False), zero, zero, zero, zero, zero, zero, none)
-    return F.aggregate(sorted_points, start, fold, lambda s: s["starts"])
+    start = state(F.lit(0).cast("bigint"), F.lit(False), zero, zero, zero, zero, zero, zero, none, nothing)
+    return F.aggregate(sorted_points, start, fold, lambda s: F.flatten(F.concat(s["aside"], F.array(s["new"]))))
 
 
 def packed(points: DataFrame) -> DataFrame:
@@ -80,10 +87,10 @@ def adaptive(points: DataFrame, model: str, least: int, most: int, threshold: fl
     if least <= 0 or most < least:
         raise ValueError("0 < min_segment_length <= max_segment_length is required")
     cuts = packed(points).withColumn("starts", starts(F.col("pts"), "linear" if model == "auto" else model, least, most, threshold))
-    seg = cuts.select("series_id", "pts", "starts", F.posexplode("starts").alias("seg_id", "start_idx"))
-    end = F.coalesce(F.get("starts", F.col("seg_id") + 1), F.size("pts").cast("bigint"))
-    parts = seg.select("series_id", F.col("seg_id").cast("bigint").alias("seg_id"), "start_idx", F.slice("pts", (F.col("start_idx") + 1).cast("int"), (end - F.col("start_idx")).cast("int")).alias("part"))
-    return parts.select("series_id", "seg_id", "start_idx", F.posexplode("part").alias("t", "p")).select("series_id", "p.idx", "p.value", "seg_id", "start_idx", F.col("t").cast("bigint").alias("t"))
+    # Each point gets its segment from arrays beside the points, so no row carries a whole series but the first.
+    own = F.transform("starts", lambda start, at: F.array_repeat(F.struct(at.cast("bigint").alias("seg_id"), start.alias("start_idx")), (F.coalesce(F.get("starts", at + 1), F.size("pts").cast("bigint")) - start).cast("int")))
+    rows = cuts.select("series_id", F.explode(F.arrays_zip(F.col("pts").alias("p"), F.flatten(own).alias("s"))).alias("z"))
+    return rows.select("series_id", "z.p.idx", "z.p.value", "z.s.seg_id", "z.s.start_idx", (F.col("z.p.idx") - F.col("z.s.start_idx")).alias("t"))
 
 
 def segmented(points: DataFrame, p: CodecParams) -> DataFrame:

@@ -10,12 +10,18 @@ from pyspark.sql.window import WindowSpec
 from ..functions import rules
 
 PREDICTOR_NAMES = ("mean", "linear", "rw")
+#: The header of profile files.
 PROFILE_COLUMNS = (
     "file", "n_points", "dt", "unit", "n_segments", "frac_flat", "frac_trend", "frac_oscillation", "frac_noisy", "sal_min", "sal_max", "sal_avg",
     "energy_min", "energy_max", "energy_avg", "n_motifs_flat", "n_motifs_trend", "n_motifs_oscillation", "n_motifs_noisy",
 )
 
 
+def by_path(files: DataFrame) -> DataFrame:
+    """(series_id, payload) of files (path, payload), keyed by their whole paths, so that equal base names stay apart."""
+    return files.select(F.col("path").alias("series_id"), "payload")
+
+
 def in_series() -> WindowSpec:
     return W.partitionBy("series_id").orderBy("seg_id")
 
