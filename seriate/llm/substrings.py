@@ -7,20 +7,24 @@ a word sequence that also starts in a document with a smaller id.
    winnowed: each window owns its phrase of least hash, so equal windows own
    equal phrases, and only owned phrases, a tenth of all, are shuffled.
    Documents with the same words are one text, held by its smallest id.
-2. Phrases that occur in two texts or more are the recurring ones.  The
-   documents that own some are dealt out with them; each task compiles, for
-   its shard of documents, an Aho-Corasick automaton of their recurring
-   phrases (a word is one symbol) and streams the documents through it to
-   locate every occurrence.
-3. Windows whose owned phrase was located are confirmed: their 128-bit hashes
+2. Phrases that occur in two texts or more are confirmed as recurring.  One
+   text that holds it gives a phrase's pattern, its first ``anchor`` words with
+   a word as one symbol.  Patterns are dealt to shards of ``shard`` phrases by hash.
+3. Aho-Corasick automata are compiled, one a shard, and every text is streamed
+   through them, some shards a pass; workers read a pass's patterns from the
+   shared folder.  An automaton's hit locates a phrase if all of its words are there.
+4. Windows whose owned phrase was located are confirmed: their 128-bit hashes
    are aggregated to the smallest id, before the shuffle as far as possible,
    so that a passage which very many documents share stays one row a task.
-4. Windows with a smaller id elsewhere are dealt back to their documents, and
+5. Windows with a smaller id elsewhere are dealt back to their documents, and
    their words are taken out.
 
+Texts times shards is the work of step 3, so ``shard`` should be as large as the
+workers' memory allows (some 80 bytes for each symbol of a pattern).
+
 Defined results: null texts have no words; texts under a window, empty texts
 and null ids lose nothing, and a null id takes nothing from others; texts are
-read whole; rows that repeat an id and its text get the same result, and the
+read whole; ids may be of any type that has an order; rows that repeat an id and its text get the same result, and the
 texts of one id never take words from each other; empty tables give empty
 results; other columns are ignored.
 """
@@ -34,18 +38,25 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import textkit
-from .common import cut, gathered, with_bounded_broadcast
+from .common import cut, drop, mapped, place_of, with_bounded_broadcast
 
 
 @dataclass(frozen=True)
 class Params:
     window: int = 50
     phrase: int = 32
+    anchor: int = 4
+    #: Phrases of a shard, and shards of a pass over the texts: some 42 MB of automaton each.
+    shard: int = 1 << 17
+    together: int = 3
 
 
 def owners(phrases: np.ndarray, p: Params) -> np.ndarray:
@@ -74,17 +85,60 @@ def symbols(hashes: np.ndarray) -> str:
     return c.tobytes().decode("utf-32-le")
 
 
-def locate(texts: list[str], phrases: list[set[str]]) -> Iterator[np.ndarray]:
-    """Start positions, in each text, of every occurrence of any of the shard's phrases."""
-    machine = ahocorasick.Automaton()
-    for phrase in set().union(*phrases):
-        machine.add_word(phrase, len(phrase) - 1)
+Machine = tuple[np.ndarray, ahocorasick.Automaton]
+
+
+def compiled(phrases: np.ndarray, patterns: list[str]) -> Machine:
+    """An automaton of a shard's patterns, and the phrases that begin with them; of equal patterns, a run of phrases."""
+    order = sorted(range(len(patterns)), key=patterns.__getitem__)
+    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for at, k in enumerate(order):
+        if not at or patterns[k] != patterns[order[at - 1]]:
+            machine.add_word(patterns[k], at)
     machine.make_automaton()
-    for t in texts:
-        yield np.fromiter((end - back for end, back in machine.iter(t)), np.int64) if len(machine) else np.empty(0, np.int64)
+    first = np.array([not at or patterns[k] != patterns[order[at - 1]] for at, k in enumerate(order)], bool)
+    runs = np.cumsum(first)
+    # The phrases in order of (pattern, phrase), each with its pattern's number, so that both are found by one search.
+    key = textkit.mix(phrases[order] ^ textkit.mix(np.flatnonzero(first).astype(np.uint64)[runs - 1])) if len(order) else np.empty(0, np.uint64)
+    return np.sort(key), machine
+
+
+def locate(machines: list[Machine], text: str, phrases: np.ndarray, anchor: int) -> np.ndarray:
+    """For each phrase of a text whether an automaton found its pattern and it is one of the recurring phrases."""
+    here = np.zeros(len(phrases), bool)
+    for keys, machine in machines:
+        hits = np.array(list(machine.iter(text)), np.int64).reshape(-1, 2) if len(keys) else np.empty((0, 2), np.int64)
+        at, pattern = hits[:, 0] - (anchor - 1), hits[:, 1]
+        inside = at < len(phrases)
+        at, pattern = at[inside], pattern[inside]
+        key = textkit.mix(phrases[at] ^ textkit.mix(pattern.astype(np.uint64)))
+        found = np.searchsorted(keys, key)
+        here[at[(found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] == key)]] = True
+    return here
+
+
+_held: dict[tuple[str, int], list[Machine]] = {}
+
+
+def machines_of(place: str, shards: int) -> list[Machine]:
+    """The automata of a pass, compiled once a worker from the table of patterns at ``place``."""
+    if (place, shards) not in _held:
+        _held.clear()
+        store, path = pafs.FileSystem.from_uri(place)
+        table = pads.dataset(path, filesystem=store, format="parquet").to_table()
+        g, shard, pattern = (table.column(c) for c in ("g", "shard", "pattern"))
+        g, shard = g.to_numpy().view(np.uint64), shard.to_numpy()
+        _held[place, shards] = [compiled(g[shard == x], pattern.filter(pa.array(shard == x)).to_pylist()) for x in np.unique(shard)]
+    return _held[place, shards]
+
+
+def _schema(kind: DataType, **rest: DataType) -> StructType:
+    return StructType([StructField("k", kind), *(StructField(name, t) for name, t in rest.items())])
 
 
 def _base(docs: DataFrame, p: Params) -> DataFrame:
+    schema = _schema(docs.schema["k"].dataType, n=LongType(), sha=BinaryType(), own=ArrayType(LongType()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, sha, own = [], [], []
@@ -95,42 +149,48 @@ def _base(docs: DataFrame, p: Params) -> DataFrame:
                 own.append(np.unique(phrases[np.unique(owners(phrases, p))]).view(np.int64))
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             flat = np.concatenate([*own, np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["k", "n", "sha", "own"])
-
-    return docs.mapInArrow(run, "k bigint, n bigint, sha binary, own array<bigint>")
-
-
-def _windows(affected: DataFrame, p: Params) -> DataFrame:
-    """(h1, h2, k, at) of the windows whose owned phrase an automaton located."""
-
-    def shard(k: list, data: np.ndarray, offsets: np.ndarray, known: list) -> pa.RecordBatch | None:
-        rows = [(row, h, textkit.windows(h, p.phrase, 32)) for row, _, _, _, h in hashed(data, offsets)]
-        texts = [symbols(h) for _, h, _ in rows]
-        wanted = []
-        for (row, _, phrases), t in zip(rows, texts, strict=True):
-            at = np.flatnonzero(np.isin(phrases, np.array(known[row], np.int64).view(np.uint64)))
-            wanted.append({t[i : i + p.phrase] for i in at.tolist()})
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        for (row, h, phrases), found in zip(rows, locate(texts, wanted), strict=True):
-            here = np.zeros(len(phrases), bool)
-            here[found] = True
-            own = owners(phrases, p)
-            at = np.flatnonzero(here[own]) if len(own) else np.empty(0, np.int64)
-            if len(at):
-                for c, x in zip(cols, (textkit.windows(h, p.window, 50)[at].view(np.int64), textkit.windows(h, p.window, 51)[at].view(np.int64), np.full(len(at), k[row]), at.astype(np.int32)), strict=True):
-                    c.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h1", "h2", "k", "at"]) if cols[0] else None
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=schema.names)
+
+    return mapped(docs, run, schema)
+
+
+def _patterns(holders: DataFrame, p: Params) -> DataFrame:
+    """(g, pattern) of the phrases ``gs`` that texts hold: their first words as symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = textkit.utf8(b.column(1))
-            k, known = b.column(0).to_pylist(), b.column(2)
-            for i, j in textkit.groups(offsets, 4 * textkit.GROUP):
-                out = shard(k[i:j], data, offsets[i : j + 1], known.slice(i, j - i).to_pylist())
-                if out is not None:
-                    yield out
+            g, pattern, wanted = [np.empty(0, np.uint64)], [], b.column(1)
+            for row, _, _, _, h in hashed(*textkit.utf8(b.column(0))):
+                phrases, at = np.unique(textkit.windows(h, p.phrase, 32), return_index=True)
+                mine = np.isin(phrases, wanted[row].values.to_numpy().view(np.uint64))
+                t = symbols(h)
+                g.append(phrases[mine])
+                pattern += [t[i : i + p.anchor] for i in at[mine].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), pa.array(pattern, pa.string())], names=["g", "pattern"])
+
+    return mapped(holders.select("t", "gs"), run, "g bigint, pattern string").dropDuplicates(["g"])
+
+
+def _windows(texts: DataFrame, place: str, shards: int, p: Params) -> DataFrame:
+    """(k, h1, h2, at) of the windows whose owned phrase a pass's automata located."""
+    schema = _schema(texts.schema["k"].dataType, h1=LongType(), h2=LongType(), at=IntegerType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, cols = [np.empty(0, np.int64)], [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]]
+            for row, _, _, _, h in hashed(*textkit.utf8(b.column(1))):
+                phrases = textkit.windows(h, p.phrase, 32)
+                own = owners(phrases, p)
+                if not len(own):
+                    continue
+                at = np.flatnonzero(locate(machines_of(place, shards), symbols(h), phrases, p.anchor)[own])
+                if len(at):
+                    rows.append(np.full(len(at), row))
+                    for c, x in zip(cols, (textkit.windows(h, p.window, 50)[at].view(np.int64), textkit.windows(h, p.window, 51)[at].view(np.int64), at.astype(np.int32)), strict=True):
+                        c.append(x)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(c)) for c in cols)], names=schema.names)
 
-    return affected.select("k", "t", "gs").mapInArrow(run, "h1 bigint, h2 bigint, k bigint, at int")
+    return mapped(texts.select("k", "t"), run, schema)
 
 
 def _cleaned(texts: DataFrame, p: Params) -> DataFrame:
@@ -153,25 +213,36 @@ def _cleaned(texts: DataFrame, p: Params) -> DataFrame:
                 kept.append(b" ".join(w for w, o in zip(words, out.tolist(), strict=True) if not o))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["k", "sha", "n_removed", "kept"])
 
-    return texts.select("k", "t", "gone").mapInArrow(run, "k bigint, sha binary, n_removed bigint, kept string")
+    schema = _schema(texts.schema["k"].dataType, sha=BinaryType(), n_removed=LongType(), kept=StringType())
+    return mapped(texts.select("k", "t", "gone"), run, schema)
 
 
 def _analysed(docs: DataFrame, p: Params, text: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(base, canon, cleaned): every row's words, each text's holder, and what is left of the texts that lose words."""
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    base = cut(_base(rows, p), "sub-base", 2)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    base = cut(_base(rows, p), "sub-base")
     some = base.where(f"n >= {p.window} and k is not null")
-    canon = cut(some.groupBy("sha").agg(F.min("k").alias("first"), F.min_by("own", "k").alias("own")), "sub-texts", 1)
+    canon = cut(some.groupBy("sha").agg(F.min("k").alias("first"), F.min_by("own", "k").alias("own")), "sub-texts")
     owned = canon.select(F.col("first").alias("k"), F.explode("own").alias("g"))
-    recurring = cut(owned.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "sub-phrases", 1)
-    need = cut(owned.join(with_bounded_broadcast(recurring, recurring.count()), "g").groupBy("k").agg(F.collect_set("g").alias("gs")), "sub-need", 1)
-    ids = need.select("k")
-    affected = rows.join(with_bounded_broadcast(ids, ids.count()), "k", "left_semi").join(need, "k")
-    found = cut(_windows(affected, p), "sub-windows", 2)
+    recurring = cut(owned.groupBy("g").agg(F.count("*").alias("c"), F.min("k").alias("holder")).where("c > 1").select("g", "holder"), "sub-phrases")
+    phrases = recurring.count()
+    shards = -(-phrases // p.shard)
+    gs = cut(recurring.groupBy(F.col("holder").alias("k")).agg(F.collect_set("g").alias("gs")), "sub-holders")
+    held = rows.join(with_bounded_broadcast(gs.select("k"), gs.count()), "k", "left_semi").join(gs, "k")
+    patterns = cut(_patterns(held, p).withColumn("shard", F.pmod("g", F.lit(max(shards, 1)))), "sub-patterns")
+    firsts = canon.select(F.col("first").alias("k"))
+    texts, found, passes = rows.join(with_bounded_broadcast(firsts, canon.count()), "k", "left_semi"), None, []
+    for low in range(0, shards, p.together):
+        passes.append(cut(patterns.where(F.col("shard").between(low, low + p.together - 1)), "sub-pass"))
+        part = cut(_windows(texts, place_of(passes[-1]), min(p.together, shards - low), p), "sub-windows")
+        found = part if found is None else found.unionByName(part)
+    drop(recurring, gs, patterns, *passes)
+    if found is None:
+        found = _windows(texts.limit(0), "", 0, p)
     least = found.groupBy("h1", "h2").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
-    least = cut(least, "sub-confirmed", 1)
+    least = cut(least, "sub-confirmed")
     gone = found.join(with_bounded_broadcast(least, 3 * least.count()), ["h1", "h2"]).where("lo < k").groupBy("k").agg(F.collect_set("at").alias("gone"))
-    gone = cut(gone, "sub-gone", 1)
+    gone = cut(gone, "sub-gone")
     ids = gone.select("k")
     losing = rows.join(with_bounded_broadcast(ids, ids.count()), "k", "left_semi").join(gone, "k")
     return base, canon, _cleaned(losing, p)
@@ -180,15 +251,14 @@ def _analysed(docs: DataFrame, p: Params, text: str, key: str) -> tuple[DataFram
 def dedup(docs: DataFrame, p: Params = Params(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_removed and kept_sha256."""
     base, canon, cleaned = _analysed(docs, p, text, key)
-    small = cut(cleaned.select("k", "sha", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")).distinct(), "sub-cleaned", 1)
+    small = cut(cleaned.select("k", "sha", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")).distinct(), "sub-cleaned")
     rows = base.select("k", "n", "sha").join(canon.select("sha", "first"), "sha", "left").join(small, ["k", "sha"], "left")
     copy = F.coalesce(F.col("k") > F.col("first"), F.lit(False))
-    out = rows.select(
+    return rows.select(
         F.col("k").alias(key), F.col("n").alias("n_words"),
         F.when(copy, F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
-    return gathered(out)
 
 
 def kept_texts(docs: DataFrame, p: Params = Params(), text: str = "text", key: str = "doc_id") -> DataFrame:

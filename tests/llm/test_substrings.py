@@ -1,9 +1,10 @@
 import hashlib
 import re
 
+import numpy as np
 from samples import prose
 
-from seriate.llm import substrings
+from seriate.llm import substrings, textkit
 
 
 def brute(docs):
@@ -57,11 +58,33 @@ def test_kept_texts(docs_of):
     assert {r.doc_id: r.kept for r in substrings.kept_texts(docs_of(docs)).collect()} == {2: "before after", 3: ""}
 
 
-def test_automaton_finds_every_occurrence():
-    import numpy as np
+def test_shards_and_passes_do_not_change_the_result(docs_of):
+    p = [prose(100 + k, 70 + 5 * k) for k in range(4)]
+    docs = [(10 + k, f"{prose(50 + k, 30)} {p[k % 4]} {prose(60 + k, 30)}") for k in range(12)]
+    few = substrings.Params(shard=5, together=2)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(docs_of(docs), few).collect()), key=str)
+    assert got == brute(docs)
+
 
-    h = np.arange(40, dtype=np.uint64) << np.uint64(44)
-    t = substrings.symbols(np.concatenate([h, h[:35], h]))
-    found = next(substrings.locate([t], [{t[:32], t[3:35]}]))
-    assert sorted(found.tolist()) == [0, 3, 40, 43, 75, 78]
-    assert next(substrings.locate([t], [set()])).tolist() == []
+def test_ids_of_any_type(spark):
+    p = prose(1, 60)
+    df = spark.createDataFrame([("b", p), ("a", f"x {p}"), (None, p)], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.n_removed) for r in substrings.dedup(df).collect()) == [("None", 0), ("a", 0), ("b", 60)]
+
+
+def test_automata_alone_locate_phrases():
+    h = textkit.mix(np.arange(40, dtype=np.uint64))
+    text = np.concatenate([h, h[:35], h])
+    phrases, t = textkit.windows(text, 32, 32), substrings.symbols(text)
+    wanted = textkit.windows(h, 32, 32)[[0, 3]]
+    machine = substrings.compiled(wanted, [t[0:4], t[3:7]])
+    assert np.flatnonzero(substrings.locate([machine], t, phrases, 4)).tolist() == [0, 3, 40, 43, 75, 78]
+    # A pattern of another phrase is found, but does not count; without patterns nothing is located.
+    assert not substrings.locate([substrings.compiled(wanted[:1] ^ np.uint64(1), [t[0:4]])], t, phrases, 4).any()
+    assert not substrings.locate([substrings.compiled(wanted[:0], [])], t, phrases, 4).any()
+    # Phrases that begin alike share a pattern.
+    other = np.concatenate([h[:10], h[20:], h])
+    shared = np.concatenate([wanted, textkit.windows(other, 32, 32)[:1]])
+    both = substrings.compiled(shared, [t[0:4], t[3:7], t[0:4]])
+    assert substrings.locate([both], substrings.symbols(other), textkit.windows(other, 32, 32), 4)[0]
+    assert np.flatnonzero(substrings.locate([both], t, phrases, 4)).tolist() == [0, 3, 40, 43, 75, 78]
