@@ -81,14 +81,13 @@ def gathered(df: DataFrame, waves: int = 2) -> DataFrame:
     return df.coalesce(max(4, waves * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
 
 
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`cut` once nothing lazy reads them.
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner free the shuffle files of finished plans, which it does once the driver has collected its garbage."""
+    spark._jvm.System.gc()
 
-    Spark's cleaner frees the shuffle files of finished plans once the driver
-    has collected its garbage, which it else seldom does.
-    """
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`cut` once nothing lazy reads them."""
     for t in tables:
         path = getattr(t, "_seriate_path", None)
         if path:
@@ -96,6 +95,8 @@ def drop(*tables: DataFrame) -> None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             fs = where.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf())
             fs.delete(where, True)
+    if tables:
+        sweep(tables[0].sparkSession)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
