@@ -9,7 +9,7 @@ a word sequence that also starts in a document with a smaller id.
    Documents with the same words are one text, held by its smallest id.
 2. Phrases that occur in two texts or more are confirmed as recurring.  One
    text that holds it gives a phrase's pattern, its first ``anchor`` words with
-   a word as one symbol.  Patterns are dealt to shards of ``shard`` phrases by hash.
+   two symbols a word.  Patterns are dealt to shards of ``shard`` phrases by hash.
 3. Aho-Corasick automata are compiled, one a shard, and every text is streamed
    through them, some shards a pass; workers read a pass's patterns from the
    shared folder.  An automaton's hit locates a phrase if all of its words are there.
@@ -54,7 +54,7 @@ class Params:
     window: int = 50
     phrase: int = 32
     anchor: int = 4
-    #: Phrases of a shard, and shards of a pass over the texts: some 42 MB of automaton each.
+    #: Phrases of a shard, and shards of a pass over the texts: some 60 MB of automaton each.
     shard: int = 1 << 17
     together: int = 3
 
@@ -79,10 +79,12 @@ def hashed(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, bytes,
 
 
 def symbols(hashes: np.ndarray) -> str:
-    """One character a word, from 20 bits of its hash; surrogates are moved out of the way."""
-    c = (hashes >> np.uint64(44)).astype(np.uint32)
-    c[(c >= 0xD800) & (c < 0xE000)] += 0x100000
-    return c.tobytes().decode("utf-32-le")
+    """Two characters a word, of 6 bits of its hash each, the second from another range.
+
+    An automaton's node searches its children one by one, so the alphabet is small.
+    """
+    c = (hashes >> np.uint64(52)).astype(np.uint16)
+    return np.stack([c >> 6, (c & 63) | 64], 1).astype(np.uint8).tobytes().decode("ascii")
 
 
 Machine = tuple[np.ndarray, ahocorasick.Automaton]
@@ -108,7 +110,7 @@ def locate(machines: list[Machine], text: str, phrases: np.ndarray, anchor: int)
     here = np.zeros(len(phrases), bool)
     for keys, machine in machines:
         hits = np.array(list(machine.iter(text)), np.int64).reshape(-1, 2) if len(keys) else np.empty((0, 2), np.int64)
-        at, pattern = hits[:, 0] - (anchor - 1), hits[:, 1]
+        at, pattern = (hits[:, 0] + 1) // 2 - anchor, hits[:, 1]
         inside = at < len(phrases)
         at, pattern = at[inside], pattern[inside]
         key = textkit.mix(phrases[at] ^ textkit.mix(pattern.astype(np.uint64)))
@@ -165,7 +167,7 @@ def _patterns(holders: DataFrame, p: Params) -> DataFrame:
                 mine = np.isin(phrases, wanted[row].values.to_numpy().view(np.uint64))
                 t = symbols(h)
                 g.append(phrases[mine])
-                pattern += [t[i : i + p.anchor] for i in at[mine].tolist()]
+                pattern += [t[2 * i : 2 * (i + p.anchor)] for i in at[mine].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), pa.array(pattern, pa.string())], names=["g", "pattern"])
 
     return mapped(holders.select("t", "gs"), run, "g bigint, pattern string").dropDuplicates(["g"])

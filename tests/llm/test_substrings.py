@@ -77,14 +77,14 @@ def test_automata_alone_locate_phrases():
     text = np.concatenate([h, h[:35], h])
     phrases, t = textkit.windows(text, 32, 32), substrings.symbols(text)
     wanted = textkit.windows(h, 32, 32)[[0, 3]]
-    machine = substrings.compiled(wanted, [t[0:4], t[3:7]])
+    machine = substrings.compiled(wanted, [t[0:8], t[6:14]])
     assert np.flatnonzero(substrings.locate([machine], t, phrases, 4)).tolist() == [0, 3, 40, 43, 75, 78]
     # A pattern of another phrase is found, but does not count; without patterns nothing is located.
-    assert not substrings.locate([substrings.compiled(wanted[:1] ^ np.uint64(1), [t[0:4]])], t, phrases, 4).any()
+    assert not substrings.locate([substrings.compiled(wanted[:1] ^ np.uint64(1), [t[0:8]])], t, phrases, 4).any()
     assert not substrings.locate([substrings.compiled(wanted[:0], [])], t, phrases, 4).any()
     # Phrases that begin alike share a pattern.
     other = np.concatenate([h[:10], h[20:], h])
     shared = np.concatenate([wanted, textkit.windows(other, 32, 32)[:1]])
-    both = substrings.compiled(shared, [t[0:4], t[3:7], t[0:4]])
+    both = substrings.compiled(shared, [t[0:8], t[6:14], t[0:8]])
     assert substrings.locate([both], substrings.symbols(other), textkit.windows(other, 32, 32), 4)[0]
     assert np.flatnonzero(substrings.locate([both], t, phrases, 4)).tolist() == [0, 3, 40, 43, 75, 78]
