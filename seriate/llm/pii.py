@@ -14,6 +14,9 @@ of one half to the letters and digits of the other, each within its class.
 
 Defined results: null texts stay null with 0 values; empty texts stay empty;
 texts are read whole; values that fail their validation stay as they are;
+dates are found as yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy and dd/mm/yyyy (1800 to 2199), phones as ten
+digits in the common North American forms with or without +1, other countries' not at all;
+the key is a secret of the caller's, ``KEY`` only an example;
 numbers with one blank or hyphen between them are one run, in which cards and
 other values are found between separators;
 repeated rows get the same result; empty tables give empty results; other
@@ -33,8 +36,8 @@ ROUNDS = 8
 #: Kinds in the order in which they are tried at a place in the text.
 PATTERNS = {
     "mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "secret": r"\b[0-9a-fA-F]{32,64}\b",
-    "date": r"\b(?:1[89]|2[01])\d\d-\d\d-\d\d(?=T\d|\b)",
+    "secret": r"\b[0-9a-fA-F]{32,}\b",
+    "date": r"\b(?:1[89]|2[01])\d\d-\d\d-\d\d(?=T\d|\b)|\b\d\d/\d\d/(?:1[89]|2[01])\d\d\b|\b\d\d\.\d\d\.(?:1[89]|2[01])\d\d\b",
     "card": r"\b\d(?:[ -]?\d){12,}+\b",
     "address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
     "phone": r"(?:\+1 ?)?\(\d{3}\) ?\d{3}-\d{4}\b|(?:\+1[ .-]?|\b)\d{3}[.-]\d{3}[.-]\d{4}\b|\+1 ?\d{3} ?\d{3} ?\d{4}\b",
@@ -147,12 +150,19 @@ def address(v: Column, key: str) -> Column:
 
 #: The days of 1800-01-01 to 2199-12-31, a full period of the calendar: 400 years are 189 * 773 days.
 FIRST_DAY = -62091
+FORMS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", "dd/MM/yyyy")
 
 
 def date(v: Column, key: str) -> Column:
-    day = F.datediff(F.try_to_timestamp(v, F.lit("yyyy-MM-dd")).cast("date"), F.lit("1970-01-01").cast("date")) - FIRST_DAY
-    new = _then(day, lambda d: pair(F.floor(d / 773), F.pmod(d, F.lit(773)), 189, 773, key, "date", lambda x, y: F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (x * 773 + y + FIRST_DAY).cast("int")), "yyyy-MM-dd")))
-    return F.when(day.isNotNull(), new).otherwise(v)
+    """A day as year-month-day, day.month.year or month/day/year, or day/month/year where that is the only reading; each form is permuted in itself."""
+
+    def written(form: str) -> Column:
+        day = F.datediff(F.try_to_timestamp(v, F.lit(form)).cast("date"), F.lit("1970-01-01").cast("date")) - FIRST_DAY
+        new = _then(day, lambda d: pair(F.floor(d / 773), F.pmod(d, F.lit(773)), 189, 773, key, "date" if form == FORMS[0] else form, lambda x, y: F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (x * 773 + y + FIRST_DAY).cast("int")), form)))
+        return F.when(day.isNotNull(), new)
+
+    slashed = F.coalesce(written(FORMS[2]), written(FORMS[3]), v)
+    return F.when(v.contains("-"), F.coalesce(written(FORMS[0]), v)).when(v.contains("."), F.coalesce(written(FORMS[1]), v)).otherwise(slashed)
 
 
 def phone(v: Column, key: str) -> Column:
@@ -174,7 +184,7 @@ def social(v: Column, key: str) -> Column:
     return F.when(valid, pair(at, rest, 898, 99 * 9999, key, "social", text)).otherwise(v)
 
 
-def string(v: Column, key: str, kind: str, letters: int = 26) -> Column:
+def string(v: Column, key: str, kind: Column | str, letters: int = 26) -> Column:
     """Letters and digits permuted within their classes; ``letters`` is 6 for hexadecimal."""
 
     def shifted(c: Column, by: Column) -> Column:
@@ -184,7 +194,7 @@ def string(v: Column, key: str, kind: str, letters: int = 26) -> Column:
 
     def add(half: Column, other: Column, step: int) -> Column:
         # A hash per 8 characters of the half, as many as it takes.
-        digest = lambda i: F.sha2(F.concat(F.lit(f"{key}|{kind}|{step}|"), F.floor((i - 1) / 8).cast("string"), F.lit("|"), other).cast("binary"), 256)
+        digest = lambda i: F.sha2(F.concat(F.lit(f"{key}|"), _column(kind), F.lit(f"|{step}|"), F.floor((i - 1) / 8).cast("string"), F.lit("|"), other).cast("binary"), 256)
         one = lambda i: shifted(half.substr(i.cast("int"), F.lit(1)), F.conv(F.substring(digest(i), F.pmod(i - 1, F.lit(8)) * 8 + 1, F.lit(7)), 16, 10).cast("bigint"))
         return F.when(F.length(half) == 0, half).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), ""))
 
@@ -200,7 +210,8 @@ def string(v: Column, key: str, kind: str, letters: int = 26) -> Column:
 
 def mail(v: Column, key: str) -> Column:
     at = F.instr(v, "@")
-    return F.concat(string(v.substr(F.lit(1), at - 1), key, "mail"), v.substr(at, F.length(v)))
+    # The host takes part, so that one-letter names of different hosts move apart.
+    return F.concat(string(v.substr(F.lit(1), at - 1), key, F.concat(F.lit("mail"), v.substr(at, F.length(v)))), v.substr(at, F.length(v)))
 
 
 def pseudonym(v: Column, key: str) -> Column:
@@ -219,7 +230,7 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text", found: str = "
     cards = F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda v: F.when(v.rlike(f"^(?:{runs})$") & ~v.rlike(f"^(?:{PATTERNS['secret']})$"), marked(v)).otherwise(v))
     rows = docs.withColumn("__text", F.when(t.rlike(runs), woven(t, ANY, cards)).otherwise(t))
     m = F.col("__text")
-    rows = rows.withColumn(found, F.when(m.rlike("[0-9@]"), F.regexp_extract_all(m, F.lit(SOME), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn(found, F.when(m.rlike("[0-9@]|[a-fA-F]{32}"), F.regexp_extract_all(m, F.lit(SOME), F.lit(0))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda v: pseudonym(v, key))).otherwise(F.array().cast("array<string>")))
     rows = rows.withColumn(found, F.transform(found, lambda v: F.translate(v, OPEN + CLOSE, "")))
     return rows.withColumn(text, F.when(F.size(found) > 0, woven(m, SOME, F.col(new))).otherwise(t)).drop("__text")

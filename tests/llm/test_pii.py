@@ -75,6 +75,17 @@ def test_strings_are_permuted(spark):
     assert len(set(got)) == len(rows) and all(re.fullmatch(r"[a-z]\d\.[a-z]", g) for g in got)
 
 
+def test_more_dates_long_secrets_and_short_names(docs_of):
+    texts = ["due 25.12.2020 ok", "due 12/31/1999 ok", "due 31/12/1999 ok", "due 31.02.2020 ok", "f" * 80, "a@x.org a@y.org a@z.org a@w.org", "at 2024-02-29T10:00:00Z"]
+    got = {r.doc_id: r.text for r in pii.op3(docs_of(list(enumerate(texts)))).collect()}
+    import datetime
+
+    for k, form in ((0, "%d.%m.%Y"), (1, "%m/%d/%Y"), (2, "%d/%m/%Y")):
+        assert got[k] != texts[k] and datetime.datetime.strptime(got[k][4:14], form) and got[k].endswith(" ok")
+    assert got[3] == texts[3] and got[4] != texts[4] and len(got[4]) == 80
+    assert len({x[0] for x in got[5].split()}) > 1 and got[6].endswith("T10:00:00Z") and got[6] != texts[6]
+
+
 def test_query(docs_of):
     rows = pii.op3(docs_of([(1, f"{CARD} and 4619646426088948"), (2, None), (2, None)])).orderBy("doc_id").collect()
     assert [(r.n_found, r.n_replaced) for r in rows] == [(2, 1), (0, 0), (0, 0)]
