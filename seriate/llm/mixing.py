@@ -13,7 +13,8 @@ derive from the document and the level, so reruns agree on any cluster.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null
 source is a source of its own, after all others; rows that repeat id, source
-and size are one unit and share their number of copies; without any word all
+and text are a unit, of which as many rows as its share makes whole get a copy more and one
+more takes part in the rounding, so no unit moves more than one row; ids may be of any type; without any word all
 targets are 0; empty tables give empty results; other columns are carried or
 ignored.
 """
@@ -89,13 +90,15 @@ def pivot(words: np.ndarray, share: np.ndarray, seeds: np.ndarray, last: bool) -
 
 
 def decide(units: DataFrame, sources: DataFrame) -> DataFrame:
-    """(doc_id, source, size, rows, source_size, target, copies) of every unit."""
+    """(doc_id, source, size, hash, rows, source_size, target, whole, extra) of every unit: its rows' copies, and how many of them get one more."""
     with_rate = units.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + 1e-12)
-    rows = with_rate.withColumn("whole", whole.cast("bigint")).withColumn("share", F.greatest(rate - whole, F.lit(0.0))).withColumn("seed", F.xxhash64(F.lit(5), "doc_id", "source", "size"))
+    rows = with_rate.withColumn("whole", whole.cast("bigint")).withColumn("share", F.greatest(rate - whole, F.lit(0.0)) * F.col("rows"))
+    rows = rows.withColumn("extra", F.floor(F.col("share") + 1e-9).cast("bigint")).withColumn("share", F.greatest(F.col("share") - F.col("extra"), F.lit(0.0)))
+    rows = rows.withColumn("seed", F.xxhash64(F.lit(5), "doc_id", "source", "size", "hash"))
     rows = rows.withColumn("groups", F.ceil(F.col("units") / GROUP).cast("bigint")).withColumn("bucket", F.pmod("seed", "groups"))
-    rows = cut(rows.select("doc_id", "source", "size", "rows", "source_size", "target", "whole", "share", "seed", "groups", "bucket"), "mix-units", 2)
+    rows = cut(rows.select("doc_id", "source", "size", "hash", "rows", "source_size", "target", "whole", "extra", "share", "seed", "groups", "bucket"), "mix-units", 2)
     moving = (F.col("share") > 1e-9) & (F.col("share") < 1 - 1e-9) & (F.col("size") > 0)
     done = [rows.where(~moving)]
     live, level = rows.where(moving), 0
@@ -104,9 +107,9 @@ def decide(units: DataFrame, sources: DataFrame) -> DataFrame:
 
     def reduce(level: int) -> callable:
         def run(table: pa.Table) -> pa.Table:
-            size, rows_, seed = (table.column(c).to_numpy() for c in ("size", "rows", "seed"))
-            order = np.lexsort((seed, -size * rows_))
-            words = (size * rows_)[order].astype(float)
+            size, seed = (table.column(c).to_numpy() for c in ("size", "seed"))
+            order = np.lexsort((seed, -size))
+            words = size[order].astype(float)
             last = table.column("groups")[0].as_py() <= 1
             got = pivot(words, table.column("share").to_numpy()[order], (seed[order] + level).view(np.uint64), last)
             back = np.empty_like(got)
@@ -127,23 +130,41 @@ def decide(units: DataFrame, sources: DataFrame) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "size", "rows", "source_size", "target", (F.col("whole") + F.round("share").cast("bigint")).alias("copies"))
+    return out.select("doc_id", "source", "size", "hash", "rows", "source_size", "target", "whole", (F.col("extra") + F.round("share").cast("bigint")).alias("extra"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def plan(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    units = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "units", 2)
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), text_hash(F.col(text)).alias("hash"))
+    units = cut(sized.groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("rows")), "units", 2)
     return decide(units, targets(units))
 
 
+def copies(row: Column) -> Column:
+    """Of the unit's ``row``th row, from 1."""
+    return F.col("whole") + F.when(row <= F.col("extra"), 1).otherwise(0)
+
+
 def op5(docs: DataFrame) -> DataFrame:
-    got = plan(docs).withColumn("again", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
-    return gathered(got).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("copies") * F.col("size")).alias("taken"))
+    got = plan(docs).withColumn("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows"))))
+    return gathered(got).select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (copies(F.col("row")) * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, each as often as its number of copies."""
-    got = plan(docs, key, source, text).where("copies > 0").select(F.col("doc_id").alias("__k"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__c"))
-    same = F.col(key).eqNullSafe(F.col("__k")) & F.col(source).eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))
-    rows = docs.withColumn("__size", word_count(F.col(text))).join(got, same)
-    return rows.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__c")))).select(*docs.columns)
+    """The rows of ``docs``, each as often as its number of copies.
+
+    Rows of a unit are alike, so any order may number them; a unit that repeats very often is one
+    task's sort, which needs no more memory for it.
+    """
+    unit = ["doc_id", "source", "size", "hash"]
+    got = plan(docs, key, source, text).where("whole + extra > 0").select(*(F.col(c).alias(f"u_{c}") for c in unit), "rows", "whole", "extra")
+    mine = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), text_hash(F.col(text)).alias("hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("u_doc_id")) & F.col("source").eqNullSafe(F.col("u_source")) & (F.col("size") == F.col("u_size")) & (F.col("hash") == F.col("u_hash"))
+    rows = mine.join(got, same)
+    one = rows.where("rows = 1").withColumn("row", F.lit(1))
+    more = rows.where("rows > 1").withColumn("row", F.row_number().over(W.partitionBy(*unit).orderBy("hash")))
+    out = one.unionByName(more).withColumn("copies", copies(F.col("row"))).where("copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("doc.*")
