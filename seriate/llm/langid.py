@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import textkit
 from .common import mapped, split_remainder
@@ -34,8 +35,9 @@ UND = "und"
 class Params:
     #: Rows to learn from for each language, on average; documented bound of the sample.
     per_lang: int = 400
-    #: Rows to learn from in all, at most.
+    #: Rows to learn from in all, on average; with many languages each gets its part, but ``least`` rows where it has them.
     most: int = 6_000
+    least: int = 20
     bits: int = 12
     orders: tuple[int, ...] = (1, 2, 3)
     ridge: float = 0.02
@@ -84,7 +86,7 @@ def profiles(texts: list[str], bits: int, orders: tuple[int, ...]) -> np.ndarray
             c, a, b = textkit.code_points([t[at : at + step + max(orders) - 1] for t in texts[i:j]])
             for x, ok in textkit.ngram_buckets(c, a, b, orders, bits):
                 for row in range(i, j):
-                    lo, hi = a[row - i], min(b[row - i], len(x))
+                    lo, hi = a[row - i], min(b[row - i], len(x), a[row - i] + step)  # beyond it the next piece counts
                     if hi > lo:
                         got = x[lo:hi][ok[lo:hi]]
                         out[row] += np.bincount(got, minlength=size) if len(got) * 8 > size else _sparse(got, size)
@@ -104,7 +106,8 @@ def fit(docs: DataFrame, p: Params = Params(), text: str = "text", lang: str = "
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row per language
     if not counts:
         return None
-    rates = docs.sparkSession.createDataFrame([(k, min(1.0, p.per_lang / n)) for k, n in sorted(counts.items())], "l string, rate double")
+    each = min(p.per_lang, max(p.least, p.most // len(counts)))
+    rates = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in sorted(counts.items())], "l string, rate double")
     draw = F.xxhash64(F.lit(11), "k").bitwiseAND(0xFFFFF) / F.lit(float(1 << 20))
     # rates has a row per language.
     sample = rows.join(F.broadcast(rates), "l").where(draw < F.col("rate")).select("k", "t", "l")
@@ -114,7 +117,8 @@ def fit(docs: DataFrame, p: Params = Params(), text: str = "text", lang: str = "
             x = profiles(b.column("t").to_pylist(), p.bits, p.orders)
             yield pa.RecordBatch.from_pydict({"k": b.column("k"), "l": b.column("l"), "x": pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())})
 
-    got = mapped(sample, features, "k long, l string, x binary").orderBy(F.xxhash64("k"), "k", "l").limit(p.most).collect()
+    got = mapped(sample, features, StructType([sample.schema["k"], sample.schema["l"], StructField("x", BinaryType())])).collect()
+    got.sort(key=lambda r: (str(r["k"]), r["l"], r["x"]))
     langs = sorted({r["l"] for r in got})
     if not langs:
         return None

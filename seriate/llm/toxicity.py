@@ -7,7 +7,7 @@ fitted on the scaled features.
 Defined results: a null or empty text has no features and scores the model's
 intercept; texts of any length are read whole, in pieces; equal texts score
 alike; repeated rows are scored each; several labels of one id count as toxic
-if any is; without both classes among the learnable labels every score is the
+if any is, and the first in order of several texts of one id teaches; ids may be of any type; without both classes among the learnable labels every score is the
 smoothed share of toxic rows; empty tables give empty results; other columns
 are ignored.
 """
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import textkit
 from .common import cut, drop, mapped, split_remainder
@@ -82,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), text: str = "t
         .orderBy(F.xxhash64("k"), "k").limit(p.sample)
     )
     # The label side has at most p.sample rows of 12 bytes.
-    sample = cut(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(lab), "k").select("k", "t", "y").dropDuplicates(["k"]), "toxic-sample", 1)
+    sample = cut(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(lab), "k").groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")), "toxic-sample", 1)
     size, every = 1 << p.bits, np.ones(1 << p.bits, bool)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), text: str = "t
             yield pa.RecordBatch.from_pydict({"k": b.column("k"), "y": b.column("y"), "f": pa.array([x.tobytes() for x in found], pa.binary())})
 
     # p.sample rows of at most 4 bytes a feature.
-    got = sorted(mapped(sample, features, "k long, y int, f binary").collect(), key=lambda x: x["k"])
+    got = sorted(mapped(sample, features, StructType([sample.schema["k"], sample.schema["y"], StructField("f", BinaryType())])).collect(), key=lambda x: x["k"])
     drop(sample)
     lists = [np.searchsorted(buckets, np.frombuffer(x["f"], np.uint32)) for x in got]
     w, b = _logistic(lists, np.array([float(x["y"] > 0) for x in got]), r, p)
