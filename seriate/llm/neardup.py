@@ -13,7 +13,7 @@ table with probability 4e-6, and the tests of :mod:`graph` lose no candidate.
 Defined results: null texts, empty texts and texts without words have an
 empty set and are linked with nothing; texts are hashed whole; equal sets are
 one node, whatever number of documents has them; rows that repeat an id are
-judged each by its text, and texts with the same smallest id are one node; a null id gets no component and is kept; empty tables give empty
+judged each by its text; ids may be of any type that has an order; a null id gets no component and is kept; empty tables give empty
 results; other columns are carried or ignored.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, textkit
-from .common import cut, gathered, mapped, with_bounded_broadcast
+from .common import cut, drop, mapped, sweep, with_bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, p: Params, text: str, key: str) -> DataFrame:
-    """(k, n, d1, d2, sig): set size, set digest and the hashed tuples of both collections, per row."""
+    """(k, own, n, d1, d2, sig): the text's hash, set size, set digest and the hashed tuples of both collections, per row."""
     rng = np.random.default_rng(8)
     count = (p.left + p.right) * p.rows
     a = rng.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -74,7 +74,7 @@ def signatures(docs: DataFrame, p: Params, text: str, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = textkit.utf8(batch.column(1))
+            data, offsets = textkit.utf8(batch.column(2))
             rows = len(offsets) - 1
             n, d, sig = np.zeros(rows, np.int64), np.zeros((2, rows), np.uint64), np.zeros((rows, p.left + p.right), np.uint64)
             for row, h in shingles(data, offsets, p.words):
@@ -87,10 +87,10 @@ def signatures(docs: DataFrame, p: Params, text: str, key: str) -> DataFrame:
                         t = textkit.mix(t ^ low[:, k])
                     sig[row] = t
             flat = pa.array(sig.view(np.int64).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (p.left + p.right)), flat)], names=["k", "n", "d1", "d2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(d[0].view(np.int64)), pa.array(d[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (p.left + p.right)), flat)], names=["k", "own", "n", "d1", "d2", "sig"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return mapped(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), run, f"k {kind}, n bigint, d1 bigint, d2 bigint, sig array<bigint>")
+    return mapped(docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own"), F.col(text).alias("t")), run, f"k {kind}, own bigint, n bigint, d1 bigint, d2 bigint, sig array<bigint>")
 
 
 def tables(nodes: DataFrame, p: Params) -> DataFrame:
@@ -101,7 +101,7 @@ def tables(nodes: DataFrame, p: Params) -> DataFrame:
     """
     tuples = nodes.select("node", "n", F.posexplode("sig").alias("i", "tuple"))
     shared = tuples.groupBy("tuple").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("tuple")
-    shared = cut(shared, "shared-tuples", 1)
+    shared = cut(shared, "shared-tuples")
     mine = tuples.join(shared, "tuple").groupBy("node", "n").agg(F.collect_list(F.when(F.col("i") < p.left, F.col("tuple"))).alias("l"), F.collect_list(F.when(F.col("i") >= p.left, F.col("tuple"))).alias("r"))
     both = F.flatten(F.transform("l", lambda x: F.transform("r", lambda y: F.xxhash64(x, y))))
     return mine.select("node", F.col("n").alias("size"), F.explode(both).alias("bucket"))
@@ -111,8 +111,8 @@ def fits(percent: int) -> callable:
     return lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, most: int, p: Params, text: str, key: str) -> DataFrame:
-    """(node, s): the shingle sets of the documents in ``ids``, of which there are ``most`` at most."""
+def sets_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame, most: int, p: Params, text: str, key: str) -> DataFrame:
+    """(node, s): the shingle sets of the nodes in ``ids``, of which there are ``most`` at most, from a document that has each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,19 +122,24 @@ def sets_of(docs: DataFrame, ids: DataFrame, most: int, p: Params, text: str, ke
             flat = pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=["node", "s"])
 
-    texts = docs.select(F.col(key).cast("bigint").alias("node"), F.col(text).alias("t")).join(with_bounded_broadcast(ids, most), "node", "left_semi")
+    # A node is the set of its first document's text; rows that repeat that document give it again.
+    where = nodes.select("node", "first").join(with_bounded_broadcast(ids, most), "node", "left_semi").select("node", "first.*")
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own"), F.col(text).alias("t"))
+    texts = rows.join(with_bounded_broadcast(where, 4 * most), ["k", "own"]).select("node", "t")
     return mapped(texts, sets, "node bigint, s array<bigint>").dropDuplicates(["node"])
 
 
-def verifier(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
+def verifier(docs: DataFrame, nodes: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
     def verify(pairs: DataFrame) -> DataFrame:
-        held = cut(pairs, "pairs", 1)
+        held = cut(pairs, "pairs")
         ids = held.select(F.col("a").alias("node")).unionByName(held.select(F.col("b").alias("node"))).distinct()
-        s = cut(sets_of(docs, ids, 2 * held.count(), p, text, key), "pair-sets", 2)
+        s = cut(sets_of(docs, nodes, ids, 2 * held.count(), p, text, key), "pair-sets")
         x, y = s.select(F.col("node").alias("a"), F.col("s").alias("sa")), s.select(F.col("node").alias("b"), F.col("s").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         out = held.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("any"))
-        return out.where(F.col("both") * 100 >= F.col("any") * p.percent).select("a", "b")
+        out = cut(out.where(F.col("both") * 100 >= F.col("any") * p.percent).select("a", "b"), "pair-links")
+        drop(held, s)
+        return out
 
     return verify
 
@@ -143,7 +148,7 @@ def verifier(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
 BLOCK = 1 << 18
 
 
-def settler(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
+def settler(docs: DataFrame, nodes: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
     """Settle crowds of alike but not linked documents without a row per pair.
 
     Documents that share an open bucket, directly or through others, form a
@@ -197,7 +202,7 @@ def settler(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
         mine = cut(rest.select("node", "size", "root").distinct().join(crowds, "node"), "crowds", 1)
         blocks = mine.groupBy("crowd").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
         rows = mine.join(blocks, "crowd").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rows = rows.join(sets_of(docs, mine.select("node"), mine.count(), p, text, key), "node")
+        rows = rows.join(sets_of(docs, nodes, mine.select("node"), mine.count(), p, text, key), "node")
         rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("crowd", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"), "node", "root", "own", "s")
         return rows.groupBy("crowd", "lo", "hi").applyInArrow(block, "a bigint, b bigint")
@@ -205,32 +210,46 @@ def settler(docs: DataFrame, p: Params, text: str, key: str) -> graph.Verify:
     return settle
 
 
+def _judged(docs: DataFrame, p: Params, text: str, key: str) -> DataFrame:
+    """(k, own, n, stay): of each row its text's hash, set size and the first document (k, own) of its component; null without a set."""
+    sig = cut(signatures(docs, p, text, key), "signatures")
+    # A set is a node, held by the first document that has it; the aggregate is partial before its shuffle, so copies cost nothing.
+    some = sig.where("n > 0 and k is not null").groupBy("d1", "d2").agg(F.min(F.struct("k", "own")).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = cut(some.select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    sweep(docs.sparkSession)
+    buckets = tables(nodes, p)
+    _, comp = graph.linked(buckets, verifier(docs, nodes, p, text, key), fits(p.percent), settler(docs, nodes, p, text, key))
+    rooted = nodes.select("node", "d1", "d2", "first").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.where("root <> node").groupBy("root").agg(F.min("first").alias("other"))
+    least = cut(least, "least")
+    # Most nodes are alone; the others' first document is the least of the root's and its members'.
+    roots = rooted.where("root = node").join(least, "root", "left").select("d1", "d2", "root", F.least("first", "other").alias("stay"))
+    roots = cut(roots, "roots")
+    members = rooted.where("root <> node").select("d1", "d2", "root").join(roots.select("root", "stay"), "root").select("d1", "d2", "stay")
+    stays = roots.select("d1", "d2", "stay").unionByName(members)
+    rows = sig.select("k", "own", "n", "d1", "d2")
+    out = rows.where("n > 0 and k is not null").join(stays, ["d1", "d2"], "left").select("k", "own", "n", "stay")
+    return out.unionByName(rows.where("n = 0 or k is null").select("k", "own", "n", F.lit(None).cast(out.schema["stay"].dataType).alias("stay")))
+
+
 def classes(docs: DataFrame, p: Params = Params(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_shingles, component_id and kept."""
-    sig = cut(signatures(docs, p, text, key), "signatures", 2)
-    some = sig.where("n > 0 and k is not null")
-    # A set's node is the smallest id that has it; the aggregate is partial before its shuffle, so copies cost nothing.
-    ids = cut(some.groupBy("d1", "d2").agg(F.min("k").cast("bigint").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes", 2)
-    nodes = ids.groupBy("node").agg(F.max("n").alias("n"), F.min_by("sig", F.struct("n", "d1", "d2")).alias("sig"))
-    buckets = tables(nodes, p)
-    _, comp = graph.linked(buckets, verifier(docs, p, text, key), fits(p.percent), settler(docs, p, text, key))
-    node_of = ids.select("d1", "d2", "node").join(comp, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component_id"))
-    rows = sig.select("k", "n", "d1", "d2")
-    out = rows.where("n > 0 and k is not null").join(node_of, ["d1", "d2"], "left").select("k", "n", "component_id")
-    out = out.unionByName(rows.where("n = 0 or k is null").select("k", "n", F.when(F.col("k").isNotNull(), F.col("k").cast("bigint")).alias("component_id")))
-    return gathered(out).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = _judged(docs, p, text, key).select("k", "n", F.coalesce("stay.k", "k").alias("component_id"))
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("k") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, p: Params = Params(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The row whose id is the smallest of its component; of rows that repeat such an id, one. Null ids all stay."""
-    found = classes(docs, p, text, key).where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max("kept").alias("kept"), F.count_if("kept").alias("rows"))
-    found = cut(found.where("not kept or rows > 1"), "decided", 1)
-    gone, again = found.where("not kept").select("__k"), found.where("kept").select("__k")
-    same = F.col(key) == F.col("__k")
-    rows = docs.join(with_bounded_broadcast(gone, gone.count()), same, "left_anti")
+    """The first document (by id, then by its text's hash) of each component; of rows that repeat it, one. Null ids and empty sets all stay."""
+    here = F.struct("k", "own")
+    found = _judged(docs, p, text, key).where("stay is not null").groupBy("k", "own").agg(F.max(here == F.col("stay")).alias("kept"), F.count("*").alias("rows"))
+    found = cut(found.where("not kept or rows > 1"), "decided")
+    gone, again = found.where("not kept").select("k", "own"), found.where("kept").select("k", "own")
+    mine = docs.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own"))
+    rows = mine.join(with_bounded_broadcast(gone, 2 * gone.count()), ["k", "own"], "left_anti")
     if again.isEmpty():
-        return rows
-    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates([key]))
+        return rows.select("doc.*")
+    once = rows.join(again, ["k", "own"], "left_semi").dropDuplicates(["k", "own"])
+    return rows.join(again, ["k", "own"], "left_anti").unionByName(once).select("doc.*")
 
 
 #: The same in DuckDB's SQL.
