@@ -5,6 +5,10 @@ Doubles are rounded on both sides, mostly to 6 decimals.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -265,6 +269,11 @@ def motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.motifs(semantics.tags(_segments(spark, sf_dir))).select("series_id", "motif_id", "seg_start", "seg_end", "n_segs", "pattern", "total_len", *_r("total_energy"))
 
 
+@_register("motifs_core", _sql(*_CHAIN, _tags("core"), select="SELECT series_id, CAST(motif_id AS BIGINT) AS motif_id, min(seg_id) AS seg_start, max(seg_id) AS seg_end, count(*) AS n_segs, patt AS pattern, CAST(sum(len) AS BIGINT) AS total_len, round(sum(energy), 6) AS total_energy FROM islands GROUP BY series_id, motif_id, patt"))
+def motifs_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantics.motifs(semantics.tags(_segments(spark, sf_dir), "core")).select("series_id", "motif_id", "seg_start", "seg_end", "n_segs", "pattern", "total_len", *_r("total_energy"))
+
+
 _BREAKDOWN = "b AS (SELECT series_id, patt AS pattern, CAST(sum(len) AS BIGINT) AS points, count(*) AS n_segs, count(DISTINCT motif_id) AS n_motifs, min(seg_id) AS first_seg FROM islands GROUP BY series_id, patt)"
 
 
@@ -338,6 +347,12 @@ def alarm_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alarms.intensity(tables.event_alarms(spark, sf_dir), 3600.0).select("bin", *_r("value"))
 
 
+@_register("alarm_intensity_fractional", _sql(_WEIGHTS, _BINS.replace("/ 3600", "/ 5400.25"), select="SELECT bin, round(CAST(value AS DOUBLE), 6) AS value FROM binned"))
+def alarm_intensity_fractional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of a width that is no whole number of seconds."""
+    return alarms.intensity(tables.event_alarms(spark, sf_dir), 5400.25).select("bin", *_r("value"))
+
+
 @_register("alarm_profile", _sql(_WEIGHTS, _BINS, "pts AS (SELECT 'alarms' AS series_id, bin AS idx, CAST(value AS DOUBLE) AS value FROM binned)", _seg(32), _FIT, _coded("linear"), _SEGMENTS, _tags("cli"), _profile(), select="SELECT * FROM profile"))
 def alarm_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = alarms.intensity(tables.event_alarms(spark, sf_dir), 3600.0)
@@ -397,6 +412,87 @@ def type_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantics.profiles(semantics.tags(seg), dt=UNIT["dt"], unit=UNIT["unit"])
 
 
+# ---- text and binary files, written first and scanned back -----------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share; on a local master, where none is named, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="seriate-files-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        base = "file://" + base
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@_register("scan_series_text", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, c_acctbal::DOUBLE AS value FROM customer")
+def scan_series_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Balances as a text file with a comment, a header, blank lines and further fields, read as a series (one file is one series)."""
+    rows = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("at"), F.concat(F.col("c_acctbal").cast("double").cast("string"), F.lit(",more")).alias("line"))
+    odd = spark.createDataFrame([(-3, "# value"), (-2, "value"), (-1, "")], "at bigint, line string")
+    path = _folder(spark)
+    odd.unionByName(rows).orderBy("at").coalesce(1).select("line").write.text(path)
+    return text.series_from_text(spark, path)[0].select("idx", "value")
+
+
+@_register("scan_alarms_csv", "SELECT epoch_us(ts) AS us, event_type AS type, round(value, 6) AS severity FROM events")
+def scan_alarms_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as CSV with a time zone and a row without a time, read as an alarm log."""
+    path, e = _folder(spark), tables.event_alarms(spark, sf_dir)
+    rows = e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), "type", F.col("severity").cast("string").alias("severity"))
+    rows.unionByName(spark.createDataFrame([(None, "x", "1")], rows.schema)).write.csv(path, header=True)
+    return text.alarms_from_csv(spark, path).select(alarms.micros(F.col("ts")).alias("us"), "type", F.round("severity", 6).alias("severity"))
+
+
+@_register("scan_profiles_events", _sql(*_CHAIN, _tags("cli"), _profile(), select=_EVENTS))
+def scan_profiles_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles as a CSV file, read back for their events."""
+    path = _folder(spark)
+    profiles(spark, sf_dir).write.csv(path, header=True)
+    return semantics.events(text.profiles_from_csv(spark, path))
+
+
+@_register("scan_profiles_clusters", _sql(*_CHAIN, _tags("cli"), _profile(), select=_CLUSTERS))
+def scan_profiles_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    schema = profiles(spark, sf_dir).schema
+    profiles(spark, sf_dir).write.csv(path, header=True)
+    got = semantics.clusters(text.profiles_from_csv(spark, path))
+    return got.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema), "cluster")
+
+
+@_register("scan_tags_csv", _sql(*_CHAIN, _tags("cli"), select='SELECT CAST(seg_id AS INTEGER) AS seg_id, CAST(start_idx AS INTEGER) AS "start", CAST(end_idx AS INTEGER) AS "end", CAST(len AS INTEGER) AS len, pred, patt, CAST(sal AS INTEGER) AS sal, round(energy, 6) AS energy FROM tagged'))
+def scan_tags_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    t = semantics.tags(_segments(spark, sf_dir))
+    t.select("seg_id", F.col("start_idx").alias("start"), F.col("end_idx").alias("end"), "len", "pred", "patt", "sal", "energy").write.csv(path, header=True)
+    return text.tags_from_csv(spark, path).select("seg_id", "start", "end", "len", "pred", "patt", "sal", *_r("energy"))
+
+
+@_register("scan_values_csv", "SELECT c_acctbal::DOUBLE AS value FROM customer")
+def scan_values_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    tables.table(spark, sf_dir, "customer").select(F.col("c_acctbal").cast("double").alias("value")).write.csv(path, header=True)
+    return text.values_from_csv(spark, path)
+
+
+@_register("scan_encoded_files", _sql(*_USER, _coded("linear"), select="SELECT series_id, idx, round(decoded, 6) AS value FROM coded"))
+def scan_encoded_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series written as a file each, found in their folder, read and decoded."""
+    path = _folder(spark)
+    blobs.write(_payloads(tables.user_series(spark, sf_dir), USER.but(residual_coding="varint")), path)
+    found = blobs.read(spark, path)
+    return blobs.decode(found).select(F.regexp_replace("series_id", r"\.[^.]*$", "").alias("series_id"), "idx", *_r("value"))
+
+
+@_register("decode_gaps", "SELECT i.idx, CASE WHEN i.idx = 2 THEN 10.0 WHEN i.idx BETWEEN 1 AND 3 THEN 5.0 ELSE 0.0 END::DOUBLE AS value FROM range(6) AS i(idx)")
+def decode_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payload whose segments leave gaps and overlap: gaps are 0, the later segment counts."""
+    return blobs.decode(spark.createDataFrame([("s", bytearray(blobs.overlapping()))], "series_id string, payload binary")).select("idx", "value")
+
+
 # ---- generators ------------------------------------------------------------
 
 
@@ -408,10 +504,30 @@ def _generator(kind: str, sql: str | None) -> None:
 
 _generator("trend", "SELECT 'trend' AS series_id, range AS idx, round(0.05::DOUBLE * range, 6) AS value FROM range(300)")
 _generator("flat_spike", "SELECT 'flat_spike' AS series_id, range AS idx, CASE WHEN range >= 135 AND range < 165 THEN 3.0 ELSE 1.5 END::DOUBLE AS value FROM range(300)")
-for _kind in ("sine_noise", "ramp_then_burst", "multi_bump"):
-    _generator(_kind, None)
+#: What generate.uniform draws for row {row}.
+_DRAW = "(('0x' || substr(md5('{seed}:' || {row}), 1, 13))::UBIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def _noise_sql(size: float, seed: int = 42) -> str:
+    return f"({_DRAW.format(seed=seed, row='range')} * 2 - 1) * {size}::DOUBLE"
+
+
+_generator("sine_noise", f"SELECT 'sine_noise' AS series_id, range AS idx, round(sin(2 * pi() * range / 60.0) + 0.01::DOUBLE * range + {_noise_sql(0.1)}, 6) AS value FROM range(300)")
+_generator("ramp_then_burst", f"SELECT 'ramp_then_burst' AS series_id, range AS idx, round(0.03::DOUBLE * range + CASE WHEN range < 150 THEN {_noise_sql(0.1)} ELSE 6 * sin(2 * pi() * (range - 150) / 10.0) + {_noise_sql(0.2)} END, 6) AS value FROM range(300)")
+_generator("multi_bump", f"SELECT 'multi_bump' AS series_id, range AS idx, round(CASE WHEN range BETWEEN 53 AND 66 OR range BETWEEN 143 AND 156 OR range BETWEEN 233 AND 246 THEN 3.0 ELSE 1.0 END::DOUBLE + {_noise_sql(0.1)}, 6) AS value FROM range(300)")
+
+
+def _pick_sql(values: str, n: int, seed: int) -> str:
+    return f"([{values}])[CAST(floor({_DRAW.format(seed=seed, row='range')} * {n}) AS BIGINT) + 1]"
+
+
+_ALARM_LOG = f"""SELECT TIMESTAMP '2025-01-01 00:00:00' + to_seconds(s) AS ts, type, severity::DOUBLE AS severity FROM (
+  SELECT range * 30 AS s, {_pick_sql("'A'", 1, 52)} AS type, {_pick_sql('1', 1, 62)} AS severity FROM range(40) WHERE {_DRAW.format(seed=42, row='range')} < 0.2
+  UNION ALL SELECT 1200 + range * 20, {_pick_sql("'A', 'B'", 2, 53)}, {_pick_sql('1, 2, 3', 3, 63)} FROM range(60) WHERE {_DRAW.format(seed=43, row='range')} < 0.5
+  UNION ALL SELECT 2400 + range // 5 * 120 + range % 5 * 5, 'C', {_pick_sql('2, 3', 2, 72)} FROM range(50)
+)"""
 
 
-@_register("gen_alarms")
+@_register("gen_alarms", _ALARM_LOG)
 def gen_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.alarms(spark)
