@@ -25,6 +25,27 @@ def test_held_out_languages(docs_of, langs):
     assert got[90_003].lang_pred == "aa"
 
 
+def test_rare_languages_among_many_are_learnt(docs_of):
+    r = np.random.default_rng(9)
+    rows = [(100 * i + k, " ".join("".join(chr(0x4E00 + 30 * i + c) for c in r.integers(0, 25, 6)) for _ in range(12)), "s", f"l{i:02}") for i in range(30) for k in range(40 if i else 6)]
+    p = langid.Params(most=300, least=5)
+    got = {x.doc_id: x.lang_pred for x in langid.op7(docs_of(rows), p).collect()}
+    assert {got[k] for k, *_ in rows} == {f"l{i:02}" for i in range(30)}
+
+
+def test_pieces_of_long_texts_count_each_gram_once(monkeypatch):
+    text = "".join(chr(97 + k * k % 26) for k in range(1000))
+    whole = langid.profiles([text, "xyz"], 12, (1, 2, 3))
+    monkeypatch.setattr(langid.textkit, "GROUP", 64)
+    assert np.allclose(langid.profiles([text, "xyz"], 12, (1, 2, 3)), whole)
+
+
+def test_text_ids(spark):
+    rows = [(f"d{k}", t, lang) for k, t, _, lang in corpus(["aa", "bb"])]
+    got = langid.op7(spark.createDataFrame(rows, "doc_id string, text string, lang string")).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} == {"aa", "bb"}
+
+
 def test_nothing_to_learn(docs_of, spark):
     rows = [(k, "lorin masta", "s", None) for k in range(10)]
     assert {r.lang_pred for r in langid.op7(docs_of(rows)).collect()} == {"und"}

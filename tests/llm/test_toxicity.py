@@ -1,10 +1,12 @@
+import math
 import os
+import random
 import zlib
 
 import pytest
 from samples import prose
 
-from seriate.llm import toxicity
+from seriate.llm import textkit, toxicity
 from seriate.llm.toxicity import Params
 
 BAD = ["grolmbad", "vexnasty"]
@@ -25,6 +27,38 @@ def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
 
 
+def test_scores_equal_a_direct_computation(spark):
+    """Features, log-count ratios, optimum and scores of a small corpus, from their definitions; ids are texts."""
+    r, p = random.Random(2), Params(least_df=1, features=1 << 18, bits=16, steps=2000)
+    rows = [(f"d{k}", "".join(r.choice("abc d") for _ in range(30)) + ("bad" if k % 3 == 0 else "")) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(k, int(t.endswith("bad"))) for k, t in rows], "doc_id string, toxic int")
+
+    def bucket(gram):
+        c, a, b = textkit.code_points([gram])
+        return next(x[0] for x, _ in textkit.ngram_buckets(c, a, b, (len(gram),), p.bits))
+
+    x = {k: {bucket(t[i : i + n]) for n in p.orders for i in range(len(t) - n + 1)} for k, t in rows}
+    learn = [(k, t.endswith("bad")) for k, t in rows if zlib.crc32(k.encode()) % 5]
+    pos, neg = sum(y for _, y in learn), sum(not y for _, y in learn)
+    ratio = {}
+    for b in set().union(*(x[k] for k, _ in learn)):
+        has, lacks = (sum(b in x[k] for k, y in learn if y == z) for z in (True, False))
+        ratio[b] = math.log((has + 0.5) / (lacks + 0.5)) - math.log((pos + 1) / (neg + 1))
+    model = toxicity.fit(df, labels, p)
+    assert sorted(model.buckets.tolist()) == sorted(ratio)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    margin = {k: model.intercept + sum(weight.get(b, 0.0) for b in x[k]) for k, _ in rows}
+    # At the optimum the gradient of the regularised loss vanishes.
+    pull = {k: 1 / (1 + math.exp(-margin[k])) - y for k, y in learn}
+    assert abs(sum(pull.values())) < 0.02
+    for b, w in weight.items():
+        if abs(ratio[b]) > 1e-6:
+            assert abs(ratio[b] * sum(v for k, v in pull.items() if b in x[k]) + p.l2 * w / ratio[b]) < 0.02
+    got = {s.doc_id: s.score for s in toxicity.op1(df, labels, p).collect()}
+    assert all(abs(got[k] - 1 / (1 + math.exp(-m))) < 1e-9 for k, m in margin.items())
+
+
 def test_held_out_rows_are_told_apart(spark, docs_of):
     docs, labels = corpus()
     odd = [(1000, None), (1001, ""), (1002, prose(7, 30_000) + " grolmbad"), (1003, docs[0][1]), (1003, docs[0][1]), (None, "x")]
