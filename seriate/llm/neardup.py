@@ -123,9 +123,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame, most: int, p: Par
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=["node", "s"])
 
     # A node is the set of its first document's text; rows that repeat that document give it again.
-    where = nodes.select("node", "first").join(with_bounded_broadcast(ids, most), "node", "left_semi").select("node", "first.*")
+    where = cut(nodes.select("node", "first").join(with_bounded_broadcast(ids, most), "node", "left_semi").select("node", "first.*"), "places")
     rows = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("own"), F.col(text).alias("t"))
-    texts = rows.join(with_bounded_broadcast(where, 4 * most), ["k", "own"]).select("node", "t")
+    texts = rows.join(with_bounded_broadcast(where, 2 * where.count()), ["k", "own"]).select("node", "t")
     return mapped(texts, sets, "node bigint, s array<bigint>").dropDuplicates(["node"])
 
 
