@@ -69,12 +69,15 @@ def pair(left: Column, right: Column, a: Column | int, b: Column | int, key: str
     """The pair (left < a, right < b) permuted, as ``out(left, right)``."""
     state = F.struct(left.cast("bigint").alias("l"), right.cast("bigint").alias("r"))
     a, b = _column(a), _column(b)
+    # A step's number is bound by a call: a second parameter of the lambda would get Spark's index column.
+    def left_round(step: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(F.pmod(s["l"] + F.pmod(_hash(key, kind, step, s["r"]), a), a).alias("l"), s["r"].alias("r"))
+
+    def right_round(step: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(_hash(key, kind, step, s["l"]), b), b).alias("r"))
+
     for step in range(ROUNDS):
-        if step % 2 == 0:
-            f = lambda s, step=step: F.struct(F.pmod(s["l"] + F.pmod(_hash(key, kind, step, s["r"]), a), a).alias("l"), s["r"].alias("r"))
-        else:
-            f = lambda s, step=step: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(_hash(key, kind, step, s["l"]), b), b).alias("r"))
-        state = _then(state, f)
+        state = _then(state, left_round(step) if step % 2 == 0 else right_round(step))
     return _then(state, lambda s: out(s["l"], s["r"]))
 
 
@@ -200,11 +203,15 @@ def string(v: Column, key: str, kind: Column | str, letters: int = 26) -> Column
 
     cut_at = F.floor(F.length(v) / 2).cast("int")
     state = F.struct(v.substr(F.lit(1), cut_at).alias("l"), v.substr(cut_at + 1, F.length(v)).alias("r"))
+
+    def left_round(step: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(add(s["l"], s["r"], step).alias("l"), s["r"].alias("r"))
+
+    def right_round(step: int) -> Callable[[Column], Column]:
+        return lambda s: F.struct(s["l"].alias("l"), add(s["r"], s["l"], step).alias("r"))
+
     for step in range(4):
-        if step % 2 == 0:
-            state = _then(state, lambda s, step=step: F.struct(add(s["l"], s["r"], step).alias("l"), s["r"].alias("r")))
-        else:
-            state = _then(state, lambda s, step=step: F.struct(s["l"].alias("l"), add(s["r"], s["l"], step).alias("r")))
+        state = _then(state, left_round(step) if step % 2 == 0 else right_round(step))
     return _then(state, lambda s: F.concat(s["l"], s["r"]))
 
 
