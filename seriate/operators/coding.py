@@ -23,15 +23,18 @@ def in_order() -> WindowSpec:
 
 
 def fitted(seg_points: DataFrame) -> DataFrame:
-    """Adds n, mean, slope, intercept, variance and seed of each point's segment."""
+    """Adds n, mean, slope, intercept, variance and seed of each point's segment.
+
+    The slope is a sum of values shifted by the first, weighted by centred
+    places: exact where values are whole, so that a level segment has slope 0
+    and ties with its mean, which a running covariance misses by its rounding.
+    """
     whole = in_order().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    mean = F.avg("value").over(whole)
-    return seg_points.select(
-        "*", F.count("*").over(whole).alias("n"), mean.alias("mean"),
-        F.coalesce(F.regr_slope("value", "t").over(whole), F.lit(0.0)).alias("slope"),
-        F.coalesce(F.regr_intercept("value", "t").over(whole), mean).alias("intercept"),
-        F.var_pop("value").over(whole).alias("variance"), F.first("value").over(whole).alias("seed"),
-    )
+    df = seg_points.select("*", F.count("*").over(whole).alias("n"), F.avg("value").over(whole).alias("mean"), F.avg("t").over(whole).alias("centre"), F.var_pop("value").over(whole).alias("variance"), F.first("value").over(whole).alias("seed"))
+    off = F.col("t") - F.col("centre")
+    df = df.select("*", F.sum(off * (F.col("value") - F.col("seed"))).over(whole).alias("rise"), F.sum(off * off).over(whole).alias("run"))
+    df = df.withColumn("slope", F.when(F.col("run") > 0, F.col("rise") / F.col("run")).otherwise(0.0))
+    return df.select(*seg_points.columns, "n", "mean", "slope", (F.col("mean") - F.col("slope") * F.col("centre")).alias("intercept"), "variance", "seed")
 
 
 def predicted(kind: int) -> Column:

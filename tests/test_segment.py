@@ -126,3 +126,11 @@ def test_one_shuffle_by_series_is_enough(spark):
     df = coding.segments(coding.coded(segment.segmented(points(spark, {"a": [1.0] * 200}), p), p))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_level_segment_of_whole_values_has_no_slope_and_ties_with_its_mean(spark):
+    xs = [11, 27, 46, 29, 41, 42, 21, 9, 4, 11, 5, 35, 49, 26, 19, 45, 35, 16, 37, 47, 16, 3, 37, 50, 7, 43, 29, 20, 22, 7, 43, 20]
+    assert sum((2 * t - 31) * x for t, x in enumerate(xs)) == 0
+    p = CodecParams(segment_length=32, predictor="auto")
+    rows = coding.coded(segment.segmented(points(spark, {"s": xs}), p), p).collect()
+    assert {(r.slope, r.predictor_type) for r in rows} == {(0.0, 0)} and rows[0].mse0 == rows[0].mse1
