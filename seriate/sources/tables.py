@@ -12,9 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def series(df: DataFrame, key: str | Column, value: str | Column, order: list[str]) -> DataFrame:
-    """(series_id, idx, value) of ``df``'s rows, one series per key, numbered in ``order``; one shuffle by series."""
+    """(series_id, idx, value) of ``df``'s rows, one series per key, numbered in ``order``, ties by value; one shuffle by series."""
     rows = df.select((F.col(key) if isinstance(key, str) else key).cast("string").alias("series_id"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), (F.col(value) if isinstance(value, str) else value).cast("double").alias("value"))
-    at = W.partitionBy("series_id").orderBy(*(f"o{i}" for i in range(len(order))))
+    at = W.partitionBy("series_id").orderBy(*(f"o{i}" for i in range(len(order))), "value")
     return rows.select("series_id", (F.row_number().over(at) - 1).cast("bigint").alias("idx"), "value")
 
 
