@@ -34,13 +34,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructField, StructType
@@ -59,12 +59,24 @@ class Params:
     together: int = 3
 
 
-def owners(phrases: np.ndarray, p: Params) -> np.ndarray:
-    """For each window the position of its phrase of least hash, the first of equal ones."""
-    per = p.window - p.phrase + 1
+def least_of(phrases: np.ndarray, p: Params) -> np.ndarray:
+    """For each window its phrase of least hash, by minima over spans that double."""
+    per, span = p.window - p.phrase + 1, 1
     if len(phrases) < per:
+        return np.empty(0, np.uint64)
+    low = phrases
+    while 2 * span <= per:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    return np.minimum(low[: len(low) - (per - span)], low[per - span :])
+
+
+def located(phrases: np.ndarray, here: np.ndarray, p: Params) -> np.ndarray:
+    """Positions of the windows whose owned phrase was found: their least phrase is the least of those found."""
+    if not here.any():
         return np.empty(0, np.int64)
-    return np.arange(len(phrases) - per + 1) + sliding_window_view(phrases, per).argmin(1)
+    none = np.uint64(np.iinfo(np.uint64).max)
+    least = least_of(np.where(here, phrases, none), p)
+    return np.flatnonzero((least == least_of(phrases, p)) & (least != none))
 
 
 def hashed(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -109,7 +121,9 @@ def locate(machines: list[Machine], text: str, phrases: np.ndarray, anchor: int)
     """For each phrase of a text whether an automaton found its pattern and it is one of the recurring phrases."""
     here = np.zeros(len(phrases), bool)
     for keys, machine in machines:
-        hits = np.array(list(machine.iter(text)), np.int64).reshape(-1, 2) if len(keys) else np.empty((0, 2), np.int64)
+        hits = np.fromiter(chain.from_iterable(machine.iter(text)), np.int64).reshape(-1, 2) if len(keys) else np.empty((0, 2), np.int64)
+        if not len(hits):
+            continue
         at, pattern = (hits[:, 0] + 1) // 2 - anchor, hits[:, 1]
         inside = at < len(phrases)
         at, pattern = at[inside], pattern[inside]
@@ -148,7 +162,7 @@ def _base(docs: DataFrame, p: Params) -> DataFrame:
                 n.append(len(h))
                 sha.append(hashlib.sha256(b" ".join(raw.split())).digest())
                 phrases = textkit.windows(h, p.phrase, 32)
-                own.append(np.unique(phrases[np.unique(owners(phrases, p))]).view(np.int64))
+                own.append(np.unique(least_of(phrases, p)).view(np.int64))
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             flat = np.concatenate([*own, np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=schema.names)
@@ -182,10 +196,9 @@ def _windows(texts: DataFrame, place: str, shards: int, p: Params) -> DataFrame:
             rows, cols = [np.empty(0, np.int64)], [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]]
             for row, _, _, _, h in hashed(*textkit.utf8(b.column(1))):
                 phrases = textkit.windows(h, p.phrase, 32)
-                own = owners(phrases, p)
-                if not len(own):
+                if len(h) < p.window:
                     continue
-                at = np.flatnonzero(locate(machines_of(place, shards), symbols(h), phrases, p.anchor)[own])
+                at = located(phrases, locate(machines_of(place, shards), symbols(h), phrases, p.anchor), p)
                 if len(at):
                     rows.append(np.full(len(at), row))
                     for c, x in zip(cols, (textkit.windows(h, p.window, 50)[at].view(np.int64), textkit.windows(h, p.window, 51)[at].view(np.int64), at.astype(np.int32)), strict=True):

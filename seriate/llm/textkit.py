@@ -47,6 +47,20 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+_runs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _both_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``base`` and of its inverse; up to a block of them are kept."""
+    if n > BLOCK:
+        return _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
+    if base not in _runs or len(_runs[base][0]) < n:
+        size = min(BLOCK, max(4096, 2 * n))
+        _runs[base] = _powers(base, size), _powers(pow(base, -1, 1 << 64), size)
+    up, down = _runs[base]
+    return up[:n], down[:n]
+
+
 _rng = np.random.default_rng(20240229)
 _BYTES = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLDED = _BYTES.copy()
@@ -110,7 +124,7 @@ def windows(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
         for k in range(n):
             total = total * base + hashes[k : k + len(total)]
         return mix(total)
-    up, down = _powers(int(base), len(hashes)), _powers(pow(int(base), -1, 1 << 64), len(hashes))
+    up, down = _both_powers(int(base), len(hashes))
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up, out=sums[1:])
     return mix((sums[n:] - sums[:-n]) * down[: len(hashes) - n + 1])

@@ -88,3 +88,19 @@ def test_automata_alone_locate_phrases():
     both = substrings.compiled(shared, [t[0:8], t[6:14], t[0:8]])
     assert substrings.locate([both], substrings.symbols(other), textkit.windows(other, 32, 32), 4)[0]
     assert np.flatnonzero(substrings.locate([both], t, phrases, 4)).tolist() == [0, 3, 40, 43, 75, 78]
+
+
+def test_windows_are_located_by_their_least_phrase(monkeypatch):
+    p = substrings.Params(window=9, phrase=4)
+    r = np.random.default_rng(1)
+    for n in (0, 3, 5, 6, 7, 40, 400):
+        phrases = r.integers(0, 60, n).astype(np.uint64)  # many equal ones
+        found = np.isin(phrases, r.integers(0, 60, 20).astype(np.uint64))
+        least = [phrases[i : i + 6].min() for i in range(n - 5)]
+        assert substrings.least_of(phrases, p).tolist() == least
+        assert substrings.located(phrases, found, p).tolist() == [i for i, x in enumerate(least) if found[phrases == x].all()]
+    # Powers are computed once a base, not once a text; longer texts and earlier, shorter ones agree.
+    hashes, made = r.integers(0, 1 << 63, 9000, np.uint64), []
+    whole = textkit.windows(hashes, 32, 77)
+    monkeypatch.setattr(textkit, "_powers", lambda *a: made.append(a))
+    assert (textkit.windows(hashes[:500], 32, 77) == whole[:469]).all() and not made
