@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import graph, textkit
@@ -144,6 +145,12 @@ def verifier(docs: DataFrame, nodes: DataFrame, p: Params, text: str, key: str)
     return verify
 
 
+def spokes(rest: DataFrame) -> DataFrame:
+    """Distinct (a, b): each bucket's smallest node with each other member; a row a member at most, of one shuffle."""
+    hub = F.min("node").over(W.partitionBy("bucket"))
+    return rest.select(hub.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+
+
 #: Shingles of a block of :func:`settler`, on average.
 BLOCK = 1 << 18
 
@@ -196,8 +203,7 @@ def settler(docs: DataFrame, nodes: DataFrame, p: Params, text: str, key: str) -
         return pa.table({"a": pa.array([k[0] for k in links], pa.int64()), "b": pa.array([k[1] for k in links], pa.int64())})
 
     def settle(rest: DataFrame) -> DataFrame:
-        hubs = rest.groupBy("bucket").agg(F.min("node").alias("b"))
-        edges = cut(rest.join(hubs, "bucket").where("node <> b").select(F.col("b").alias("a"), F.col("node").alias("b")).distinct(), "crowd-edges", 1)
+        edges = cut(spokes(rest), "crowd-edges", 1)
         crowds = graph.components(edges).select("node", F.col("root").alias("crowd"))
         mine = cut(rest.select("node", "size", "root").distinct().join(crowds, "node"), "crowds", 1)
         blocks = mine.groupBy("crowd").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))

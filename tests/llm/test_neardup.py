@@ -92,3 +92,10 @@ def test_tensored_tables_need_few_hashes():
     a, b = np.array([3, 5], np.uint64), np.array([1, 2], np.uint64)
     h = np.arange(2000, dtype=np.uint64)
     assert neardup.minhash(h, a, b).tolist() == [1, 2]
+
+
+def test_a_crowd_is_tied_together_by_a_row_a_member_without_a_join(spark):
+    rest = spark.createDataFrame([(b, n) for b in range(3) for n in range(b, 50)] + [(7, 60)], "bucket bigint, node bigint")
+    edges = neardup.spokes(rest)
+    assert "Join" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, edges.collect())) == sorted((b, n) for b in range(3) for n in range(b + 1, 50))
