@@ -424,7 +424,8 @@ def _folder(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="seriate-files-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         base = "file://" + base
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    # Shared by contract, so its store is named: a plain path would be each executor's own.
+    return f"{blobs.qualified(spark, base)}/files-{uuid.uuid4().hex}"
 
 
 @_register("scan_series_text", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, c_acctbal::DOUBLE AS value FROM customer")

@@ -99,3 +99,20 @@ def test_files_are_found_once_and_by_suffix(spark, tmp_path):
     assert found(x, recursive=True) == [f"a{END}", f"b{END}", f"c{END}"]
     assert found(x, f"{x}/a{END}", f"{x}/no.txt") == [f"a{END}", f"b{END}"]
     assert found(f"{x}/no.txt") == []
+
+
+def test_files_in_a_store_that_only_spark_opens(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.seriate.link./in", f"file://{tmp_path}/in")
+    data, _ = made()
+    rows = spark.createDataFrame([("b", data), ("a", b"old"), ("c" + END, data)], "series_id string, payload binary")
+    at = "viewfs://seriate/in/x"
+    source.write(rows, at)
+    source.write(spark.createDataFrame([("a", data)], rows.schema), at)
+    assert sorted(p.name for p in (tmp_path / "in/x").iterdir() if not p.name.startswith(".")) == [f"a{END}", f"b{END}", f"c{END}"]
+    assert {bytes(r.payload) for r in source.read(spark, at).collect()} == {data}
+    with pytest.raises(ValueError, match="not a file name"):
+        source.write(spark.createDataFrame([("d", data), ("e/f", data)], rows.schema), at)
+    assert not list((tmp_path / "in/x").glob("d*")) and not list((tmp_path / "in/x").glob(".staging*"))
+    # A folder that names no store, as `spark.checkpoint.dir` may, is one of the default store.
+    assert source.qualified(spark, f"{tmp_path}/") == f"file:{tmp_path}" and source.qualified(spark, at) == at
