@@ -7,20 +7,23 @@ a word sequence that also starts in a document with a smaller id.
    winnowed: each window owns its phrase of least hash, so equal windows own
    equal phrases, and only owned phrases, a tenth of all, are shuffled.
    Documents with the same words are one text, held by its smallest id.
-2. Phrases that occur in two texts or more are confirmed as recurring.  One
-   text that holds it gives a phrase's pattern, its first ``anchor`` words with
-   two symbols a word.  Patterns are dealt to shards of ``shard`` phrases by hash.
-3. Aho-Corasick automata are compiled, one a shard, and every text is streamed
-   through them, some shards a pass; workers read a pass's patterns from the
-   shared folder.  An automaton's hit locates a phrase if all of its words are there.
+2. Phrases that occur in two texts or more are confirmed as recurring.  The
+   first text that holds it gives a phrase's pattern, its first ``anchor`` words with
+   two symbols a word.  Patterns are dealt to shards by their holders, so that
+   the phrases of a passage stay together.
+3. An Aho-Corasick automaton is compiled for each shard, and each text is streamed
+   through those of the shards that own a phrase of it: in others none of
+   its windows can be located.  Texts meet ``together`` shards at once; there are so many
+   shards that this is about ``part`` bytes of texts, and more are cut into parts.
+   An automaton's hit locates a phrase if all of its words are there.
 4. Windows whose owned phrase was located are confirmed: their 128-bit hashes
    are aggregated to the smallest id, before the shuffle as far as possible,
    so that a passage which very many documents share stays one row a task.
 5. Windows with a smaller id elsewhere are dealt back to their documents, and
    their words are taken out.
 
-Texts times shards is the work of step 3, so ``shard`` should be as large as the
-workers' memory allows (some 80 bytes for each symbol of a pattern).
+The work of step 3 is texts times the shards that each meets, which its passages
+bound, however many shards there are.
 
 Defined results: null texts have no words; texts under a window, empty texts
 and null ids lose nothing, and a null id takes nothing from others; texts are
@@ -39,14 +42,12 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.dataset as pads
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from . import textkit
-from .common import cut, drop, mapped, place_of, with_bounded_broadcast
+from .common import cut, drop, mapped, with_bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -54,9 +55,15 @@ class Params:
     window: int = 50
     phrase: int = 32
     anchor: int = 4
-    #: Phrases of a shard, and shards of a pass over the texts: some 60 MB of automaton each.
+    #: Phrases of a shard at most, and shards that a text meets at once: up to some 60 MB of automaton each.
     shard: int = 1 << 17
     together: int = 3
+    #: Bytes of texts, with recurring phrases, for which automata are compiled.
+    part: int = 8 << 20
+
+
+#: Texts whose windows are gathered at once.
+BATCH_ROWS = 1024
 
 
 def least_of(phrases: np.ndarray, p: Params) -> np.ndarray:
@@ -133,79 +140,73 @@ def locate(machines: list[Machine], text: str, phrases: np.ndarray, anchor: int)
     return here
 
 
-_held: dict[tuple[str, int], list[Machine]] = {}
-
-
-def machines_of(place: str, shards: int) -> list[Machine]:
-    """The automata of a pass, compiled once a worker from the table of patterns at ``place``."""
-    if (place, shards) not in _held:
-        _held.clear()
-        store, path = pafs.FileSystem.from_uri(place)
-        table = pads.dataset(path, filesystem=store, format="parquet").to_table()
-        g, shard, pattern = (table.column(c) for c in ("g", "shard", "pattern"))
-        g, shard = g.to_numpy().view(np.uint64), shard.to_numpy()
-        _held[place, shards] = [compiled(g[shard == x], pattern.filter(pa.array(shard == x)).to_pylist()) for x in np.unique(shard)]
-    return _held[place, shards]
-
-
 def _schema(kind: DataType, **rest: DataType) -> StructType:
     return StructType([StructField("k", kind), *(StructField(name, t) for name, t in rest.items())])
 
 
 def _base(docs: DataFrame, p: Params) -> DataFrame:
-    schema = _schema(docs.schema["k"].dataType, n=LongType(), sha=BinaryType(), own=ArrayType(LongType()))
+    schema = _schema(docs.schema["k"].dataType, n=LongType(), bytes=LongType(), sha=BinaryType(), own=ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sha, own = [], [], []
+            n, size, sha, own = [], [], [], []
             for _, raw, _, _, h in hashed(*textkit.utf8(b.column(1))):
                 n.append(len(h))
+                size.append(len(raw))
                 sha.append(hashlib.sha256(b" ".join(raw.split())).digest())
                 phrases = textkit.windows(h, p.phrase, 32)
                 own.append(np.unique(least_of(phrases, p)).view(np.int64))
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
             flat = np.concatenate([*own, np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(size, pa.int64()), pa.array(sha, pa.binary()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=schema.names)
 
     return mapped(docs, run, schema)
 
 
 def _patterns(holders: DataFrame, p: Params) -> DataFrame:
-    """(g, pattern) of the phrases ``gs`` that texts hold: their first words as symbols."""
+    """(g, pattern, shard) of the phrases ``gs`` that texts hold: their first words as symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, pattern, wanted = [np.empty(0, np.uint64)], [], b.column(1)
+            g, pattern, shard, wanted = [np.empty(0, np.uint64)], [], [np.empty(0, np.int32)], b.column(1)
             for row, _, _, _, h in hashed(*textkit.utf8(b.column(0))):
                 phrases, at = np.unique(textkit.windows(h, p.phrase, 32), return_index=True)
                 mine = np.isin(phrases, wanted[row].values.to_numpy().view(np.uint64))
                 t = symbols(h)
                 g.append(phrases[mine])
+                shard.append(np.full(len(g[-1]), b.column(2)[row].as_py(), np.int32))
                 pattern += [t[2 * i : 2 * (i + p.anchor)] for i in at[mine].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), pa.array(pattern, pa.string())], names=["g", "pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g).view(np.int64)), pa.array(pattern, pa.string()), pa.array(np.concatenate(shard))], names=["g", "pattern", "shard"])
 
-    return mapped(holders.select("t", "gs"), run, "g bigint, pattern string").dropDuplicates(["g"])
+    return mapped(holders.select("t", "gs", "shard"), run, "g bigint, pattern string, shard int").dropDuplicates(["g"])
 
 
-def _windows(texts: DataFrame, place: str, shards: int, p: Params) -> DataFrame:
-    """(k, h1, h2, at) of the windows whose owned phrase a pass's automata located."""
+def _windows(texts: DataFrame, patterns: DataFrame, p: Params) -> DataFrame:
+    """(k, h1, h2, at) of the windows of ``texts`` (k, t, shards, turn, part) whose owned phrase the automata of ``patterns`` (g, pattern, shard, turn, part) located."""
     schema = _schema(texts.schema["k"].dataType, h1=LongType(), h2=LongType(), at=IntegerType())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+    def run(own: pa.Table, other: pa.Table) -> pa.Table:
+        g, shard, pattern = other.column("g").to_numpy().view(np.uint64), other.column("shard").to_numpy(), other.column("pattern")
+        machines = {x: compiled(g[shard == x], pattern.filter(pa.array(shard == x)).to_pylist()) for x in (np.unique(shard).tolist() if len(own) else ())}
+        out = []
+        for b in own.select(["k", "t", "shards"]).to_batches(max_chunksize=BATCH_ROWS):
             rows, cols = [np.empty(0, np.int64)], [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]]
             for row, _, _, _, h in hashed(*textkit.utf8(b.column(1))):
                 phrases = textkit.windows(h, p.phrase, 32)
-                if len(h) < p.window:
-                    continue
-                at = located(phrases, locate(machines_of(place, shards), symbols(h), phrases, p.anchor), p)
+                at = located(phrases, locate([machines[x] for x in b.column(2)[row].as_py()], symbols(h), phrases, p.anchor), p)
                 if len(at):
                     rows.append(np.full(len(at), row))
                     for c, x in zip(cols, (textkit.windows(h, p.window, 50)[at].view(np.int64), textkit.windows(h, p.window, 51)[at].view(np.int64), at.astype(np.int32)), strict=True):
                         c.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(c)) for c in cols)], names=schema.names)
+            out.append(pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(c)) for c in cols)], names=schema.names))
+        pa.default_memory_pool().release_unused()
+        kinds = pa.schema([own.schema.field("k"), ("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32())])
+        return pa.Table.from_batches(out, out[0].schema if out else kinds)
 
-    return mapped(texts.select("k", "t"), run, schema)
+    # Few bytes, much work: not to be joined into few tasks.
+    n, here = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["turn", "part"]
+    sides = [df.repartition(n, *here).groupBy(*here) for df in (texts, patterns)]
+    return sides[0].cogroup(sides[1]).applyInArrow(run, schema)
 
 
 def _cleaned(texts: DataFrame, p: Params) -> DataFrame:
@@ -237,23 +238,30 @@ def _analysed(docs: DataFrame, p: Params, text: str, key: str) -> tuple[DataFram
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     base = cut(_base(rows, p), "sub-base")
     some = base.where(f"n >= {p.window} and k is not null")
-    canon = cut(some.groupBy("sha").agg(F.min("k").alias("first"), F.min_by("own", "k").alias("own")), "sub-texts")
+    canon = cut(some.groupBy("sha").agg(F.min("k").alias("first"), F.min_by("own", "k").alias("own"), F.min("bytes").alias("bytes")), "sub-texts")
     owned = canon.select(F.col("first").alias("k"), F.explode("own").alias("g"))
     recurring = cut(owned.groupBy("g").agg(F.count("*").alias("c"), F.min("k").alias("holder")).where("c > 1").select("g", "holder"), "sub-phrases")
     phrases = recurring.count()
-    shards = -(-phrases // p.shard)
-    gs = cut(recurring.groupBy(F.col("holder").alias("k")).agg(F.collect_set("g").alias("gs")), "sub-holders")
+    # The texts that have recurring phrases, and whose.
+    size = canon.groupBy(F.col("first").alias("k")).agg(F.sum("bytes").alias("bytes"))
+    met = cut(owned.join(with_bounded_broadcast(recurring, phrases), "g").select("k", "holder").distinct().join(size, "k"), "sub-met")
+    much = met.select("k", "bytes").distinct().agg(F.sum("bytes")).first()[0] or 0
+    shards = max(1, -(-phrases // p.shard), p.together * (much // p.part))
+    shard = F.pmod(F.xxhash64("holder"), F.lit(shards)).cast("int").alias("shard")
+    turn = F.floor(F.col("shard") / p.together).cast("int").alias("turn")
+    dealt = recurring.select("g", "holder", shard)
+    gs = cut(dealt.groupBy(F.col("holder").alias("k"), "shard").agg(F.collect_set("g").alias("gs")), "sub-holders")
     held = rows.join(with_bounded_broadcast(gs.select("k"), gs.count()), "k", "left_semi").join(gs, "k")
-    patterns = cut(_patterns(held, p).withColumn("shard", F.pmod("g", F.lit(max(shards, 1)))), "sub-patterns")
-    firsts = canon.select(F.col("first").alias("k"))
-    texts, found, passes = rows.join(with_bounded_broadcast(firsts, canon.count()), "k", "left_semi"), None, []
-    for low in range(0, shards, p.together):
-        passes.append(cut(patterns.where(F.col("shard").between(low, low + p.together - 1)), "sub-pass"))
-        part = cut(_windows(texts, place_of(passes[-1]), min(p.together, shards - low), p), "sub-windows")
-        found = part if found is None else found.unionByName(part)
-    drop(recurring, gs, patterns, *passes)
-    if found is None:
-        found = _windows(texts.limit(0), "", 0, p)
+    patterns = cut(_patterns(held, p), "sub-patterns")
+    # The shards through which each text is streamed, and the parts that the texts of each turn make.
+    visits = cut(met.select("k", "bytes", shard).groupBy("k", "bytes", turn).agg(F.collect_set("shard").alias("shards")), "sub-visits")
+    parts = cut(visits.groupBy("turn").agg(F.ceil(F.sum("bytes") / (4 * p.part)).cast("int").alias("parts")), "sub-parts")
+    each = with_bounded_broadcast(parts, shards)
+    where = visits.join(each, "turn").select("k", "shards", "turn", F.pmod(F.xxhash64("k", "turn"), F.col("parts")).cast("int").alias("part"))
+    texts = rows.join(with_bounded_broadcast(where, 4 * visits.count()), "k")
+    machines = patterns.withColumn("turn", turn).join(each, "turn").select("g", "pattern", "shard", "turn", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    found = cut(_windows(texts, machines, p), "sub-windows")
+    drop(recurring, gs, patterns, met, visits, parts)
     least = found.groupBy("h1", "h2").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("h1", "h2", "lo")
     least = cut(least, "sub-confirmed")
     gone = found.join(with_bounded_broadcast(least, 3 * least.count()), ["h1", "h2"]).where("lo < k").groupBy("k").agg(F.collect_set("at").alias("gone"))

@@ -66,6 +66,16 @@ def test_shards_and_passes_do_not_change_the_result(docs_of):
     assert got == brute(docs)
 
 
+def test_texts_meet_only_the_shards_that_own_a_phrase_of_theirs(docs_of, monkeypatch):
+    p, seen, windows = [prose(100 + k, 70 + 5 * k) for k in range(4)], [], substrings._windows
+    docs = [(10 + k, f"{prose(50 + k, 30)} {p[k % 4]} {prose(60 + k, 30)}") for k in range(12)] + [(100 + k, prose(500 + k, 90)) for k in range(20)]
+    monkeypatch.setattr(substrings, "_windows", lambda texts, *rest: seen.append(texts.count()) or windows(texts, *rest))
+    few = substrings.Params(shard=5, together=1)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.dedup(docs_of(docs), few).collect()), key=str)
+    assert got == brute(docs)
+    assert sum(seen) == 12  # however many shards there are
+
+
 def test_ids_of_any_type(spark):
     p = prose(1, 60)
     df = spark.createDataFrame([("b", p), ("a", f"x {p}"), (None, p)], "doc_id string, text string")
